@@ -106,7 +106,7 @@ def valence_compound(lexicon: DataFrame, text_col: str = "text") -> Column:
     d = _lexicon_dict(lexicon, ["valence"]) or {}
     val = _map_literal({k: v[0] for k, v in d.items()})
     toks = word_tokens(text_col)
-    s = F.aggregate(F.transform(toks, lambda t: F.coalesce(F.element_at(val, t), F.lit(0.0))),
+    s = F.aggregate(F.transform(toks, lambda t: F.coalesce(F.try_element_at(val, t), F.lit(0.0))),
                     F.lit(0.0), lambda acc, x: acc + x)
     return s / F.sqrt(s * s + F.lit(VADER_ALPHA))
 
