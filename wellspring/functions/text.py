@@ -17,6 +17,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .vocab import DELETED_VALUES
 
@@ -133,7 +134,7 @@ def strip_review_artifacts(col) -> Column:
     return _apply_rules(_c(col), REVIEW_ARTIFACT_RULES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Unicode NFKD, vectorised over an Arrow batch."""
     return s.map(lambda t: unicodedata.normalize("NFKD", t) if isinstance(t, str) else t)
@@ -197,24 +198,29 @@ def remove_stop_words(tok: Column, stop_words) -> Column:
 
 
 def with_bigrams(tok: Column) -> Column:
-    """Unigrams followed by adjacent bigrams (joined by one space)."""
-    bigrams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(tok) - 1, F.lit(0))),
-        lambda i: F.concat_ws(" ", F.element_at(tok, i), F.element_at(tok, i + 1)))
-    bigrams = F.when(F.size(tok) >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    return F.concat(tok, bigrams)
-
-
-def keyword_hits(col, keywords) -> Column:
-    """Distinct keywords of ``keywords`` that occur as substrings of lower(text)."""
-    low = F.lower(F.coalesce(_c(col), F.lit("")))
+    """Unigrams followed by adjacent bigrams (joined by one space).
+
+    ``zip_with`` of two slices evaluates the token array once per row; a
+    lambda that indexes into ``tok`` would re-derive it per element."""
+    n = F.size(tok)
+    pairs = F.zip_with(F.slice(tok, 1, F.greatest(n - 1, F.lit(0))),
+                       F.slice(tok, F.lit(2), F.greatest(n - 1, F.lit(0))),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(tok, F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>")))
+
+
+def keyword_hits(col, keywords, lowered: bool = False) -> Column:
+    """Distinct keywords of ``keywords`` that occur as substrings of lower(text).
+    Pass an already lowercased column with ``lowered=True`` (a column
+    reference) so the lambda does not lowercase the text per keyword."""
+    low = _c(col) if lowered else F.lower(F.coalesce(_c(col), F.lit("")))
     kws = F.array(*[F.lit(k) for k in keywords])
     return F.filter(kws, lambda k: F.instr(low, k) > 0)
 
 
-def keyword_count(col, keywords) -> Column:
+def keyword_count(col, keywords, lowered: bool = False) -> Column:
     """TXT11: number of distinct keywords present as substrings."""
-    return F.size(keyword_hits(col, keywords))
+    return F.size(keyword_hits(col, keywords, lowered))
 
 
 def snippet(col, n: int = 300) -> Column:

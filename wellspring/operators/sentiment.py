@@ -144,8 +144,9 @@ def theme_counts(themes: Mapping[str, Sequence[str]] = KEYWORD_THEMES, text_col:
                  suffix: str = "_keywords") -> Op:
     """TXT11: per theme, the number of distinct keywords present."""
     def op(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"{name}{suffix}": T.keyword_count(text_col, kws)
-                               for name, kws in themes.items()})
+        low = df.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+        return low.withColumns({f"{name}{suffix}": T.keyword_count("_low", kws, lowered=True)
+                                for name, kws in themes.items()}).drop("_low")
     return op
 
 
@@ -173,7 +174,9 @@ def label_table(lexicon: DataFrame, themes: Mapping[str, Sequence[str]] = KEYWOR
                   .withColumn("polarity", F.round("polarity", 4))
                   .withColumn("subjectivity", F.round("subjectivity", 4))
                   .transform(theme_counts(themes, text_col))
-                  .withColumn("is_warehouse", is_warehouse(title, F.col(text_col)))
+                  .withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+                  .withColumn("is_warehouse", is_warehouse(title, F.col("_low")))
+                  .drop("_low")
                   .withColumn("word_count", T.word_count(F.coalesce(F.col(text_col), F.lit("")))))
         return out
     return op

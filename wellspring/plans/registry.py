@@ -12,6 +12,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 _MODULES = [
     "wellspring.plans.registered_corpus",
     "wellspring.plans.registered_checkin",
+    "wellspring.plans.registered_topics",
 ]
 
 
