@@ -66,9 +66,9 @@ def embedding_similarities(queries: DataFrame, profiles: DataFrame, qkeys: Seque
     each query row computes its k scores in-row; no join."""
     arr = profiles.agg(F.collect_list(F.struct("cluster_id", F.col(p_emb).alias("e"))).alias("p")).scalar()
     q = F.col(q_emb)
-    sims = F.transform(arr, lambda p: F.struct(p["cluster_id"].alias("cluster_id"),
+    sims = F.transform(F.col("_prof"), lambda p: F.struct(p["cluster_id"].alias("cluster_id"),
                                                cosine(q, p["e"]).alias("similarity")))
-    return queries.select(*qkeys, F.inline(sims))
+    return queries.withColumn("_prof", arr).select(*qkeys, F.inline(sims))
 
 
 def top_matches(queries: DataFrame, sims: DataFrame, profiles: DataFrame, qkeys: Sequence[str],
@@ -84,14 +84,14 @@ def top_matches(queries: DataFrame, sims: DataFrame, profiles: DataFrame, qkeys:
                   .agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("_ns"),
                                                             (-F.col("cluster_id")).alias("_nc"),
                                                             "cluster_id", "similarity"))).alias("_m")))
-    out = queries.select(*qkeys).join(ranked, qkeys, "left")
+    out = queries.select(*qkeys).join(ranked, qkeys, "left").withColumn("_all_ids", all_ids)
     matched = F.coalesce(F.col("_m"), F.array().cast(ranked.schema["_m"].dataType.simpleString()))
     matched_ids = F.transform(matched, lambda m: m["cluster_id"])
-    fill = F.transform(F.filter(all_ids, lambda c: ~F.array_contains(matched_ids, c)),
+    fill = F.transform(F.filter(F.col("_all_ids"), lambda c: ~F.array_contains(matched_ids, c)),
                        lambda c: F.struct(c.alias("cluster_id"), F.lit(0.0).alias("similarity")))
     top = F.slice(F.concat(F.transform(matched, lambda m: F.struct(m["cluster_id"].alias("cluster_id"),
                                                                     m["similarity"].alias("similarity"))), fill), 1, k)
-    out = out.withColumn("_top", top).drop("_m")
+    out = out.withColumn("_top", top).drop("_m", "_all_ids")
     best = F.try_element_at(F.col("_top"), F.lit(1))
     return (out.withColumn("cluster_id", best["cluster_id"])
                .withColumn("similarity", F.round(best["similarity"], 4))

@@ -150,7 +150,7 @@ def silhouette(df: DataFrame, emb_col: str = "embedding", cluster_col: str = "cl
     arr = stats.agg(F.collect_list(F.struct("cid", "n", "s", "q")).alias("st")).scalar()
     x = F.col(emb_col)
     xn = sq_norm(x)
-    per = F.transform(arr, lambda c: F.struct(
+    per = F.transform(F.col("_stats"), lambda c: F.struct(
         c["cid"].alias("cid"), c["n"].alias("n"),
         (c["n"] * xn - 2 * dot(x, c["s"]) + c["q"]).alias("sumd")))
     own = F.element_at(F.filter(per, lambda p: p["cid"] == F.col(cluster_col)), 1)
@@ -158,7 +158,9 @@ def silhouette(df: DataFrame, emb_col: str = "embedding", cluster_col: str = "cl
     a = own["sumd"] / (own["n"] - 1)
     b = F.array_min(others)
     s = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return df.withColumn("silhouette", s)
+    # the statistics array enters as a column (a scalar subquery, evaluated
+    # once); subqueries cannot sit inside the lambdas themselves
+    return df.withColumn("_stats", arr).withColumn("silhouette", s).drop("_stats")
 
 
 def cluster_report(df: DataFrame, labels: DataFrame | None = None, sil: float | None = None,

@@ -211,12 +211,12 @@ pv AS (SELECT pr.conv_id, pr.turn, pt.cluster_id, pt.term,
   FROM pairs pr JOIN pt ON pt.cluster_id = pr.cluster_id JOIN dfp d ON d.term = pt.term
   LEFT JOIN qt q ON q.conv_id = pr.conv_id AND q.turn = pr.turn AND q.term = pt.term, np),
 pn AS (SELECT conv_id, turn, cluster_id, sqrt(sum(w * w)) AS pn FROM pv GROUP BY ALL),
-dt AS (SELECT pv.conv_id, pv.turn, pv.cluster_id, sum(pv.w * qv.w) AS dot FROM pv
+qdot AS (SELECT pv.conv_id, pv.turn, pv.cluster_id, sum(pv.w * qv.w) AS dot FROM pv
   JOIN qv ON qv.conv_id = pv.conv_id AND qv.turn = pv.turn AND qv.term = pv.term GROUP BY ALL),
 sims AS (SELECT pr.conv_id, pr.turn, pr.cluster_id,
-    CASE WHEN coalesce(qn.qn, 0) = 0 OR coalesce(pn.pn, 0) = 0 OR dt.dot IS NULL THEN 0.0 ELSE dt.dot / (qn.qn * pn.pn) END AS sim
+    CASE WHEN coalesce(qn.qn, 0) = 0 OR coalesce(pn.pn, 0) = 0 OR qdot.dot IS NULL THEN 0.0 ELSE qdot.dot / (qn.qn * pn.pn) END AS sim
   FROM pairs pr LEFT JOIN qn USING (conv_id, turn) LEFT JOIN pn USING (conv_id, turn, cluster_id)
-  LEFT JOIN dt USING (conv_id, turn, cluster_id)),
+  LEFT JOIN qdot USING (conv_id, turn, cluster_id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY sim DESC, cluster_id DESC) AS r FROM sims),
 routed AS (SELECT conv_id, turn, max(CASE WHEN r = 1 THEN cluster_id END) AS cluster_id,
     {S.rnd('max(CASE WHEN r = 1 THEN sim END)', 4)} AS similarity,
@@ -251,7 +251,7 @@ def oracle_route_recommend() -> str:
 memb AS ({memb}),
 tr AS (SELECT r.conv_id, r.turn, string_agg(m.track_id, ',' ORDER BY m.track_ord) AS track_ids
   FROM routed r LEFT JOIN memb m ON m.cluster_id = r.cluster_id GROUP BY r.conv_id, r.turn),
-lab AS (SELECT cluster_id, cluster_label FROM prof),
+plab AS (SELECT cluster_id, cluster_label FROM prof),
 {catalog_sql()},
 fit AS (SELECT v.*, v.duration_min <= 5 AND list_contains(v.settings, 'break_room') AS fits FROM variants v),
 pc AS (SELECT category_id, bool_or(fits) AS available,
@@ -267,7 +267,7 @@ SELECT r.conv_id, r.turn, r.cluster_id, coalesce(tr.track_ids, '') AS track_ids,
     || printf('%.2f', r.similarity) || ' via tfidf). Mapped to track(s): '
     || CASE WHEN tr.track_ids IS NULL THEN 'no tracks configured for this cluster' ELSE replace(tr.track_ids, ',', ', ') END
     || '.' AS explanation
-FROM routed r LEFT JOIN tr USING (conv_id, turn) LEFT JOIN lab l ON l.cluster_id = r.cluster_id"""
+FROM routed r LEFT JOIN tr USING (conv_id, turn) LEFT JOIN plab l ON l.cluster_id = r.cluster_id"""
 
 
 # -------------------------------------------------------- cluster -> tracks
