@@ -89,15 +89,22 @@ def ranked_options(time_col: Column, setting_col: Column, dominant: Column, boos
     return F.array_sort(F.transform(catalog_literal(), per_category))
 
 
+def _with_inputs(df: DataFrame, dominant_col, scales_col) -> DataFrame:
+    """Dominant dimension and boosted categories as columns of their own, so
+    the per-category lambdas read them instead of re-deriving them."""
+    dom = F.col(dominant_col) if dominant_col and dominant_col in df.columns else F.lit(None).cast("string")
+    boosted = (boosted_categories(F.col(scales_col)) if scales_col and scales_col in df.columns
+               else F.array().cast("array<string>"))
+    return df.withColumn("_dom", dom).withColumn("_boosted", boosted)
+
+
 def recommend(time_col: str = "time_available_min", setting_col: str = "setting",
               dominant_col: str | None = "dominant_dimension", scales_col: str | None = "burnout_scales",
               keep: tuple = ("checkin_id",)) -> Op:
     """Five rows per input row: ``rank`` 1-5 and the option fields."""
     def op(df: DataFrame) -> DataFrame:
-        dom = F.col(dominant_col) if dominant_col and dominant_col in df.columns else F.lit(None).cast("string")
-        boosted = (boosted_categories(F.col(scales_col)) if scales_col and scales_col in df.columns
-                   else F.array().cast("array<string>"))
-        opts = ranked_options(F.col(time_col), F.col(setting_col), dom, boosted)
+        df = _with_inputs(df, dominant_col, scales_col)
+        opts = ranked_options(F.col(time_col), F.col(setting_col), F.col("_dom"), F.col("_boosted"))
         out = df.select(*keep, F.posexplode(opts).alias("_pos", "_o"))
         return out.select(*keep, (F.col("_pos") + 1).alias("rank"),
                           *[F.col(f"_o.{f}").alias(f) for f in (
@@ -111,12 +118,12 @@ def top_option(time_col: str = "time_available_min", setting_col: str = "setting
                dominant_col: str | None = "dominant_dimension", scales_col: str | None = "burnout_scales") -> Op:
     """SRT4: first relevant option, else the first (= rank 1 of the order)."""
     def op(df: DataFrame) -> DataFrame:
-        dom = F.col(dominant_col) if dominant_col and dominant_col in df.columns else F.lit(None).cast("string")
-        boosted = (boosted_categories(F.col(scales_col)) if scales_col and scales_col in df.columns
-                   else F.array().cast("array<string>"))
-        first = F.element_at(ranked_options(F.col(time_col), F.col(setting_col), dom, boosted), 1)
-        return (df.withColumn("top_category_id", first["category_id"])
-                  .withColumn("top_intervention_id", first["intervention_id"]))
+        d2 = _with_inputs(df, dominant_col, scales_col)
+        d2 = d2.withColumn("_first", F.element_at(
+            ranked_options(F.col(time_col), F.col(setting_col), F.col("_dom"), F.col("_boosted")), 1))
+        return (d2.withColumn("top_category_id", F.col("_first")["category_id"])
+                  .withColumn("top_intervention_id", F.col("_first")["intervention_id"])
+                  .drop("_first", "_dom", "_boosted"))
     return op
 
 
