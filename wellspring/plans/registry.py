@@ -13,6 +13,8 @@ _MODULES = [
     "wellspring.plans.registered_corpus",
     "wellspring.plans.registered_checkin",
     "wellspring.plans.registered_topics",
+    "wellspring.plans.registered_stream",
+    "wellspring.plans.registered_ml",
 ]
 
 

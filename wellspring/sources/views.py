@@ -56,16 +56,9 @@ def scale_b_value(event_id: Column):
         (F.lit(1) + (event_id * i) % 4).cast("int"))
 
 
-def checkins(spark: SparkSession, data_dir: str, with_answers: bool = True) -> DataFrame:
-    """One check-in per worker and day: the latest event of that day.
-
-    ``max_by`` under ``groupBy`` is partially aggregated map-side, so a worker
-    holding a third of all events never lands whole in one task.
-    """
-    ev = read_table(spark, data_dir, "events").select("event_id", "user_id", "ts")
-    latest = (ev.groupBy("user_id", F.to_date("ts").alias("_day"))
-                .agg(F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("e"))
-                .select("user_id", "e.event_id", "e.ts"))
+def checkin_projection(events: DataFrame, with_answers: bool = True) -> DataFrame:
+    """Check-in answers derived from event rows (narrow projection, works on
+    batch and streaming frames alike)."""
     e, u = F.col("event_id"), F.col("user_id")
     cols = [
         e.alias("checkin_id"), u.alias("worker_id"), F.col("ts"),
@@ -83,7 +76,20 @@ def checkins(spark: SparkSession, data_dir: str, with_answers: bool = True) -> D
     if with_answers:
         cols += [_answer_map("bat", 12, scale_a_value(e)).alias("bat12_responses"),
                  _answer_map("olbi", 16, scale_b_value(e)).alias("olbi_responses")]
-    return latest.select(*cols)
+    return events.select(*cols)
+
+
+def checkins(spark: SparkSession, data_dir: str, with_answers: bool = True) -> DataFrame:
+    """One check-in per worker and day: the latest event of that day.
+
+    ``max_by`` under ``groupBy`` is partially aggregated map-side, so a worker
+    holding a third of all events never lands whole in one task.
+    """
+    ev = read_table(spark, data_dir, "events").select("event_id", "user_id", "ts")
+    latest = (ev.groupBy("user_id", F.to_date("ts").alias("_day"))
+                .agg(F.max_by(F.struct("event_id", "ts"), F.struct("ts", "event_id")).alias("e"))
+                .select("user_id", "e.event_id", "e.ts"))
+    return checkin_projection(latest, with_answers)
 
 
 def answers_long(spark: SparkSession, data_dir: str) -> DataFrame:
