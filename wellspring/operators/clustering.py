@@ -74,8 +74,7 @@ def train_one_vs_rest(df: DataFrame, label_col: str, classes: Sequence[str], fea
     for c in classes:
         data = df.withColumn("_y", (F.col(label_col) == c).cast("double"))
         models[c] = GBTClassifier(featuresCol=features, labelCol="_y", maxIter=n_trees, maxDepth=depth,
-                                  stepSize=rate, seed=seed, predictionCol=f"_p_{c}",
-                                  probabilityCol=f"_prob_{c}", rawPredictionCol=f"_raw_{c}").fit(data)
+                                  stepSize=rate, seed=seed).fit(data)
     return models
 
 
@@ -85,8 +84,8 @@ def predict(df: DataFrame, models: dict, features: str = "features") -> DataFram
     out = df
     classes = sorted(models)
     for c in classes:
-        out = models[c].transform(out).withColumn(f"_q_{c}", vector_to_array(f"_prob_{c}")[1]) \
-            .drop(f"_p_{c}", f"_prob_{c}", f"_raw_{c}")
+        out = models[c].transform(out).withColumn(f"_q_{c}", vector_to_array("probability")[1]) \
+            .drop("prediction", "probability", "rawPrediction")
     total = sum((F.col(f"_q_{c}") for c in classes[1:]), F.col(f"_q_{classes[0]}"))
     probs = F.array(*[F.struct((F.col(f"_q_{c}") / total).alias("p"), F.lit(c).alias("label")) for c in classes])
     ranked = F.array_sort(probs, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0))
