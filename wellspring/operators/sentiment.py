@@ -22,8 +22,9 @@ from .normalize import is_warehouse
 
 Op = Callable[[DataFrame], DataFrame]
 
-# lexicons up to this many words become a map literal in the plan
-LEXICON_MAP_LIMIT = 50_000
+# lexicons up to this many words become a map literal in the plan (a map
+# literal lookup scans its keys, so larger lexicons use a broadcast hash join)
+LEXICON_MAP_LIMIT = 256
 WORD_PATTERN = T.WORD_CLASS + "+"
 # published VADER normalisation constant (Hutto & Gilbert, 2014)
 VADER_ALPHA = 15.0
@@ -69,15 +70,18 @@ def lexicon_features(lexicon: DataFrame, text_col: str = "text", id_col: str | N
                       .withColumn("polarity", _mean(F.transform("_hits", lambda t: F.element_at(pol, t))))
                       .withColumn("subjectivity", _mean(F.transform("_hits", lambda t: F.element_at(sub, t))))
                       .drop("_hits"))
-        if id_col is None:
-            raise ValueError("a lexicon above the map limit needs id_col for the join path")
+        key = id_col or "_lex_row"
+        base = df if id_col else df.withColumn(key, F.monotonically_increasing_id())
         lex = lexicon.select(F.lower("word").alias("_tok"), "polarity", "subjectivity")
-        scored = (df.select(id_col, F.explode(word_tokens(text_col)).alias("_tok"))
-                    .join(lex, "_tok")
-                    .groupBy(id_col).agg(F.avg("polarity").alias("polarity"),
-                                         F.avg("subjectivity").alias("subjectivity")))
-        return (df.join(scored, id_col, "left")
-                  .fillna({"polarity": 0.0, "subjectivity": 0.0}))
+        if lexicon.count() <= 5_000_000:
+            lex = F.broadcast(lex)
+        scored = (base.select(key, F.explode(word_tokens(text_col)).alias("_tok"))
+                      .join(lex, "_tok")
+                      .groupBy(key).agg(F.avg("polarity").alias("polarity"),
+                                        F.avg("subjectivity").alias("subjectivity")))
+        out = (base.join(scored, key, "left")
+                   .fillna({"polarity": 0.0, "subjectivity": 0.0}))
+        return out if id_col else out.drop(key)
     return op
 
 
