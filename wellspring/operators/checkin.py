@@ -197,11 +197,12 @@ def _normalize(mean: Column, lo: int, hi: int) -> Column:
 
 
 def _subscale(map_col: Column, items: Sequence[str], lo: int, hi: int, reverse: Sequence[str] = ()) -> Column:
-    vals = F.transform(F.array(*[F.lit(i) for i in items]),
-                       lambda k: F.when(F.array_contains(F.array(*[F.lit(r) for r in reverse] or [F.lit("")]), k),
-                                        F.lit(hi + lo) - F.try_element_at(map_col, k))
-                                  .otherwise(F.try_element_at(map_col, k)).cast("double"))
-    vals = F.filter(vals, lambda v: v.isNotNull())
+    """Mean of answered items (reverse-scored as ``lo + hi - v``), in item
+    order. Items are looked up by literal keys outside any lambda, so the
+    answer map is read once per item, not once per lambda call."""
+    looked = [(F.lit(hi + lo) - F.try_element_at(map_col, F.lit(k))) if k in reverse
+              else F.try_element_at(map_col, F.lit(k)) for k in items]
+    vals = F.filter(F.array(*[v.cast("double") for v in looked]), lambda v: v.isNotNull())
     mean = _mean_of(vals)
     return F.struct(mean.alias("raw_mean"), _normalize(mean, lo, hi).alias("normalized_0_10"),
                     F.size(vals).alias("n_items"))
