@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine, default_stop_words
 from ..sources.dims import TRACKS
+from .topics import remove_stop_words
 
 
 def _term_rows(df: DataFrame, keys: Sequence[str], text_col: str, stop_words, tf_name: str) -> DataFrame:
     """(keys..., term, tf): tokens exploded and counted per key (a partial
     aggregation; copies of a term inside one text combine map-side)."""
-    stops = default_stop_words() if stop_words is None else list(stop_words)
-    t = df.select(*keys, F.explode(T.remove_stop_words(T.tokens(text_col), stops)).alias("term"))
+    t = remove_stop_words(df.select(*keys, T.tokens(text_col).alias("_tok")), "_tok", "_terms", stop_words)
+    t = t.select(*keys, F.explode("_terms").alias("term"))
     return t.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias(tf_name))
 
 

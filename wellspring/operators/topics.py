@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -31,12 +31,20 @@ def with_analyzed_terms(df: DataFrame, text_col: str = "text", out_col: str = "_
     """TXT14: lowercase word tokens (2+ chars), stop words out, then
     unigrams followed by bigrams of the remaining tokens. The unigram array
     is a column of its own so the bigram lambda reads it, not re-derives it."""
-    stops = default_stop_words() if stop_words is None else list(stop_words)
-    out = df.withColumn("_uni", T.remove_stop_words(T.tokens(text_col), stops))
+    out = remove_stop_words(df.withColumn("_tok", T.tokens(text_col)), "_tok", "_uni", stop_words).drop("_tok")
     out = out.withColumn(out_col, T.with_bigrams(F.col("_uni")) if bigrams else F.col("_uni"))
     return out.drop("_uni") if out_col != "_uni" else out
 
 
+def remove_stop_words(df: DataFrame, in_col: str, out_col: str,
+                      stop_words: Sequence[str] | None = None) -> DataFrame:
+    """MLlib ``StopWordsRemover`` (hash-set lookup per token; tokens are
+    already lowercase, so the comparison is case-sensitive)."""
+    stops = default_stop_words() if stop_words is None else list(stop_words)
+    return StopWordsRemover(inputCol=in_col, outputCol=out_col, stopWords=stops,
+                            caseSensitive=True).transform(df)
+
+
 def fit_vocabulary(docs: DataFrame, terms_col: str, min_df: float = 3, max_df: float = 0.85,
                    max_features: int = 10_000) -> tuple[list[str], list[int], int]:
     """Terms kept by document-frequency bounds, then the ``max_features`` most
