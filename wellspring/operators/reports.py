@@ -35,7 +35,9 @@ def coverage_report(df: DataFrame, group_cols: Sequence[str] = ("source", "chann
 
 
 def value_counts(df: DataFrame, col: str, share: bool = True) -> DataFrame:
-    """AGG2/AGG4: count per value and its share (%) of all rows."""
+    """AGG2/AGG4: count per value and its share (%) of all rows. Meant for
+    low-cardinality columns (source, type, label): the share's key-less
+    window runs over the aggregated result, one row per distinct value."""
     out = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
     if share:
         # the window has no partition key but runs over the aggregated
