@@ -33,7 +33,7 @@ def _uid(doc_id: str, text: str) -> Column:
 
 
 def _word_count(line: Column) -> Column:
-    return F.size(F.filter(F.split(F.translate(line, WHITE_SPACE, " " * len(WHITE_SPACE)), " "), lambda w: w != ""))
+    return F.size(F.array_remove(F.split(F.translate(line, WHITE_SPACE, " " * len(WHITE_SPACE)), " "), ""))
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, min_words: int, gram: int, window: int) -> DataFrame:
@@ -111,9 +111,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     numbers = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: without_space(F.element_at("_lines", i)) != "")
     met = keyed.filter("_may").join(lost, F.col(uid) == F.col("_lost"), "left").withColumn("_lines", lines)
-    met = met.withColumn("_numbers", F.when(F.col("places").isNotNull(), numbers))
-    met = met.withColumn("deleted", F.coalesce(F.transform("places", lambda p: F.element_at("_numbers", p)),
-                                               F.array().cast("array<int>")))
+    chosen = F.get(F.transform(F.array(numbers), lambda at: F.transform("places", lambda p: F.element_at(at, p))), F.lit(0))
+    met = met.withColumn("deleted", F.coalesce(F.when(F.col("places").isNotNull(), chosen), F.array().cast("array<int>")))
     rest = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("deleted", i + 1)), "\n")
     met = met.withColumn(text, F.when(F.size("deleted") > 0, rest).otherwise(F.col(text)))
     out = [F.size("_lines").alias("n_lines"), "deleted", F.size("deleted").alias("n_deleted")]
