@@ -57,20 +57,19 @@ def letter_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     before[1:] = ~is_letter[:-1]
     found, texts_of = [], []
     value = ngrams.mix(code + _U(977))
+    # a gram's hash goes on from the one that is a letter shorter; one at a word's start is another
+    h = value + before.astype(_U) * _U(0xD6E8FEB86659FD93)
+    ok = is_letter.copy()
     for n in range(1, MAX_N + 1):
         count = len(code) - n + 1
         if count <= 0:
             break
-        with np.errstate(over="ignore"):
-            h = np.full(count, _U(n * 7919), dtype=_U)
-            for j in range(n):
-                h = ngrams.mix(h + value[j:j + count] * _U(2 * j + 3))
-            # an n-gram at a word's start is another n-gram
-            h = np.where(before[:count], ngrams.mix(h + _U(1)), h)
-        ok = is_letter[:count].copy()
-        for j in range(1, n - 1):
-            ok &= is_letter[j:j + count]
-        ok &= own[:count] == own[n - 1:]
+        if n > 1:
+            with np.errstate(over="ignore"):
+                h = ngrams.mix(h[:count] * _U(3) + value[n - 1:])
+            ok = ok[:count] & (own[:count] == own[n - 1:])
+            if n > 2:  # inside, letters only; the last may be the word's end
+                ok &= is_letter[n - 2:n - 2 + count]
         found.append(h[ok])
         texts_of.append(own[:count][ok])
     if not found:
@@ -82,8 +81,13 @@ def sample_ids(docs: DataFrame, doc_id: str, lang: str, per_lang: int, seed: int
     """``(doc_id, lang)`` of at most ``per_lang`` documents of each language, the first by hash."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     known = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit(seed), "_id"), "_id")
-    return known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_lang).drop("_rank")
+    # hashes under a bound that leaves a language about 1.5 x per_lang rows: what is ranked doesn't grow with it
+    sizes = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # at most 64 rows, see train()
+    spot = F.xxhash64(F.lit(seed), "_id")
+    part = F.shiftrightunsigned(spot, 11).cast("double") / float(1 << 53)
+    known = known.join(F.broadcast(sizes), "_lang").filter(part * F.col("_n") < 1.5 * per_lang + 100)
+    order = Window.partitionBy("_lang").orderBy(part, "_id")
+    return known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_lang).drop("_rank", "_n")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
