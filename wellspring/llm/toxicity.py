@@ -6,9 +6,9 @@ squared gradients n for each feature, so every coordinate has its own learning r
 its L1 term leaves most weights at exactly 0: the model is the list of the others.
 
 Fitting uses at most ``max_rows`` labelled documents, the first by hash (the documented
-bound). They are dealt to ``shards`` groups; each epoch every shard runs FTRL over its own
-rows from the common state, and the shards' z and n are averaged by Spark. Only that state,
-at most 2**BITS rows, comes to the driver, and the non-zero weights are broadcast.
+bound). Their features are made where the rows are; the learner, which is sequential, then
+takes that bounded sample through one task for a few epochs and gives back the non-zero
+weights alone, which are broadcast.
 Scoring reads every whole text in Arrow blocks.
 
 Defined results: NULL and empty texts have no features and get the score of the bias alone;
@@ -19,7 +19,6 @@ trains; without labels, or with one class, the score is the share of toxic label
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,24 +84,34 @@ def labelled_sample(labels: DataFrame, max_rows: int, seed: int) -> DataFrame:
     return one.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(max_rows)
 
 
-def _one_pass(shared, epoch: int, bias: float):
-    """What a shard does in an epoch: one pass from the common state over its rows, in an order of the epoch's own."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _learner(epochs: int):
+    """Goes over the sample ``epochs`` times, in an order hashed from ids and epoch; yields the weights that aren't 0."""
+    def run(batches):
+        ids, label, at = [], [], []
+        for batch in batches:
+            ids.append(batch.column(0).to_numpy())
+            label += batch.column(1).to_pylist()
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            at += np.split(flat, (ends - ends[0])[1:-1]) if len(ends) > 1 else []
+        if not ids or not 0 < sum(label) < len(label):
+            return
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        z[shared.value["at"]], n[shared.value["at"]] = shared.value["z"], shared.value["n"]
-        if not epoch:  # start at the labels' log odds
-            z[0], n[0] = -bias * ((BETA + 1) / ALPHA + L2) - np.sign(bias) * L1, 1.0
-        order = np.argsort(ngrams.mix(pdf["id"].to_numpy(np.int64).view(_U) + _U(epoch + 1)))
-        at, label = pdf["at"].to_list(), pdf["label"].to_list()
-        ftrl([(np.concatenate([[0], at[i]]).astype(np.int64), int(label[i])) for i in order], z, n)
-        used = np.flatnonzero(n)
-        return pd.DataFrame({"at": used, "z": z[used], "n": n[used]})
+        bias = np.log(sum(label) / (len(label) - sum(label)))  # start at the labels' log odds
+        z[0], n[0] = -bias * ((BETA + 1) / ALPHA + L2) - np.sign(bias) * L1, 1.0
+        number = np.concatenate(ids).astype(np.int64).view(_U)
+        rows = [(np.concatenate([[0], a]).astype(np.int64), y) for a, y in zip(at, label)]
+        for epoch in range(epochs):
+            ftrl([rows[i] for i in np.lexsort((number, ngrams.mix(number + _U(epoch + 1))))], z, n)
+        w = weights(z, n)
+        used = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(w[used])], names=["at", "w"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_rows: int = 20_000,
-          shards: int = 4, epochs: int = 8, seed: int = 3) -> Model:
+          epochs: int = 6, seed: int = 3) -> Model:
     """Fit on ``labels(doc_id, toxic)`` (callers leave out what is held out)."""
     bounded_batches(docs.sparkSession)
     ids = F.broadcast(labelled_sample(labels, max_rows, seed))
@@ -115,24 +124,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 pa.array(start.astype(np.int32)), pa.array(at.astype(np.int32)))], names=["id", "label", "at"])
 
     rows = rows.select("_id", "_label", "_text").mapInArrow(featured, "id bigint, label int, at array<int>")
-    rows = cut_lineage(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int")))
+    rows = cut_lineage(rows)
     seen = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if seen[1] == 0 or seen[1] == seen[0]:
         share = seen[1] / seen[0] if seen[0] else 0.0
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    bias = float(np.log(seen[1] / (seen[0] - seen[1])))
-    state = pd.DataFrame({"at": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)})
-    for epoch in range(epochs):
-        shared = docs.sparkSession.sparkContext.broadcast(state)
-
-        parts = rows.groupBy("shard").applyInPandas(_one_pass(shared, epoch, bias), "at bigint, z double, n double")
-        # a feature that a shard hasn't met counts there as zero
-        state = parts.groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas()
-    state = state.sort_values("at")
-    w = weights(state["z"].to_numpy(), state["n"].to_numpy())
-    at = state["at"].to_numpy(np.int64)
-    used = (w != 0) & (at != 0)
-    return Model(at[used], w[used].astype(np.float32), float(w[at == 0].sum()))
+    # the documented bound: at most max_rows rows, by one task
+    found = rows.repartition(1).mapInArrow(_learner(epochs), "at bigint, w double").toPandas()
+    at, w = found["at"].to_numpy(np.int64), found["w"].to_numpy()
+    return Model(at[at != 0], w[at != 0].astype(np.float32), float(w[at == 0].sum()))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", threshold: float = 0.7) -> DataFrame:
