@@ -13,15 +13,16 @@ agree on a component with their probability Jaccard similarity.
    hash made with the bucket, is compared with all others: as many pairs as members.
    As every bucket has its own, texts of a large group meet many of them.
 3. Pairs are verified: equal components first (a pair that the signatures put below
-   ``LOOSE`` is 6 standard errors under the threshold), then exactly, the Jaccard
+   ``LOOSE`` is 5 standard errors under the threshold), then exactly, the Jaccard
    similarity of the sets of shingles being ``THRESHOLD`` or more.
 4. Links join texts to classes (connected components). Members of a bucket that are in
-   another class than most of it are then compared with the bucket's other members of like
-   size, exactly once, so that no candidate pair across classes stays unverified.
+   another class than most of it are then compared with the bucket's members of other
+   classes, so that no candidate pair across classes stays unverified. They are compared
+   in blocks of about ``BLOCK`` members: a row holds two blocks, and only links come out.
 5. Documents take their text's class, named by its smallest doc_id; that document stays.
 
-No step makes all pairs of a group: step 4 makes pairs only with members that are not yet
-linked. Texts are read again only for candidates, found by a Bloom filter on doc_id.
+No step makes rows of all pairs of a group: step 4 compares only members that are not yet
+linked, block by block. Texts are read again only for candidates, found by a Bloom filter on doc_id.
 
 Defined results: NULL and empty texts are equal to each other; NULL doc_ids sort last;
 rows that repeat doc_id and text are copies, and one of them is kept; if rows share a
@@ -46,7 +47,9 @@ from wellspring.session import cut_lineage
 SHINGLE = 5
 BANDS, ROWS = 30, 6
 SIZE = BANDS * ROWS
-THRESHOLD, LOOSE = 0.8, 0.6
+THRESHOLD, LOOSE = 0.8, 0.65
+#: Members of a bucket that are compared as one block.
+BLOCK = 32
 
 _U = np.uint64
 
@@ -140,47 +143,81 @@ def _similar(batches):
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The ``pairs(a, b)`` of text keys that are similar, checkpointed."""
-    near = nodes.select("key", "sig", "rep")
-    sides = pairs.join(near.select(F.col("key").alias("a"), F.col("sig").alias("sa"), F.col("rep").alias("ra")), "a")
-    sides = sides.join(near.select(F.col("key").alias("b"), F.col("sig").alias("sb"), F.col("rep").alias("rb")), "b")
+    near = nodes.select("key", "sig")
+    sides = pairs.join(near.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
+    sides = sides.join(near.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
     likely = cut_lineage(sides.select("a", "b", "sa", "sb").mapInArrow(_likely, "a bigint, b bigint"))
-    used = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-    used = cut_lineage(used.join(near.select("key", "rep"), "key"))
+    found = cut_lineage(_texts(docs, nodes, likely.select(F.col("a").alias("key")).union(likely.select("b")), doc_id, text))
+    both = likely.join(found.select(F.col("key").alias("a"), F.col("_text").alias("ta")), "a")
+    both = both.join(found.select(F.col("key").alias("b"), F.col("_text").alias("tb")), "b")
+    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint").distinct())
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(key, _text)`` of the texts named, each by the document that stands for it."""
+    used = cut_lineage(keys.distinct().join(nodes.select("key", "rep"), "key"))
 
     def keyed(batches):
         for part, texts in blocks(batches, "_text"):
-            _, _, _, hashed, offsets = elements(texts)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_keys(hashed, offsets)), part.column(1)],
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_keys(*ngrams.words(texts))), part.column(1)],
                                              names=["_id", "_key", "_text"])
 
     src = docs.select(id_or_lowest(F.col(doc_id)).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ids = used.select(F.col("rep").alias("_id"))
-    src = only_possible(src, "_id", ids, used.count()).filter("_may").drop("_may")
+    src = only_possible(src, "_id", used.select(F.col("rep").alias("_id")), used.count()).filter("_may").drop("_may")
     found = src.mapInArrow(keyed, "_id bigint, _key bigint, _text string")
-    # a text once, by the document that stands for it
     found = found.join(used.select(F.col("key").alias("_key"), F.col("rep").alias("_id")), ["_key", "_id"], "left_semi")
-    found = cut_lineage(found.select(F.col("_key").alias("key"), "_text"))
-    both = likely.join(found.select(F.col("key").alias("a"), F.col("_text").alias("ta")), "a")
-    both = both.join(found.select(F.col("key").alias("b"), F.col("_text").alias("tb")), "b")
-    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint").distinct())
+    return found.select(F.col("_key").alias("key"), "_text")
+
 
+def _shingle_bytes(texts: list[str]) -> dict[str, pa.Array]:
+    shingle, _, own, _, _ = elements(texts)
+    at = np.searchsorted(own, np.arange(len(texts) + 1))
+    return {"sh": pa.array([shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())}
 
-def _pairs_left(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs across classes: the members of each bucket outside its largest class with all
-    others of like size."""
-    at = members.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
-    at = cut_lineage(at.select("bucket", "key", "n", F.coalesce("comp", "key").alias("comp")))
+
+def _compare(batches):
+    """Links between the members of two blocks that are of different classes."""
+    for batch in batches:
+        out = []
+        for i in range(batch.num_rows):
+            x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(-1, SIZE) for side in (x, y))
+            cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
+            nx, ny = (np.array([len(m["sh"]) for m in side], float) for side in (x, y))
+            can = ((cx[:, None] != cy[None, :]) & (nx[:, None] >= THRESHOLD * ny) & (ny >= THRESHOLD * nx[:, None])
+                   & ((sx[:, None, :] == sy[None, :, :]).mean(axis=2) >= LOOSE))
+            for r in np.flatnonzero(can.any(axis=1)):
+                mine = np.frombuffer(x[r]["sh"], _U)
+                who = np.flatnonzero(can[r])
+                theirs = np.frombuffer(b"".join(y[c]["sh"] for c in who), _U)
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                ends = np.cumsum(ny[who] / 8).astype(np.int64)
+                both = np.add.reduceat((mine[at] == theirs).astype(np.int64), ends - (ny[who] / 8).astype(np.int64))
+                for c, n in zip(who[both >= THRESHOLD * (len(mine) + ny[who] / 8 - both)], both):
+                    out.append(sorted((x[r]["key"], y[c]["key"])))
+        yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+
+def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: DataFrame, doc_id: str,
+                text: str) -> DataFrame:
+    """Links across classes inside buckets, checkpointed."""
+    at = members.select("bucket", "key").join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
+    at = cut_lineage(at.select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
     size = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = size.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"),
                                        F.sum("c").alias("size"))
     split = cut_lineage(split.filter("comps > 1").select("bucket", F.col("m.comp").alias("main"), "size"))
-    at = join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner")
-    at = cut_lineage(at.select("bucket", "key", "n", "comp", (F.col("comp") == F.col("main")).alias("main")))
-    x, y = at.filter("not main").alias("x"), at.alias("y")
-    like = (F.col("x.n") >= THRESHOLD * F.col("y.n")) & (F.col("y.n") >= THRESHOLD * F.col("x.n"))
-    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & like
-                  & (F.col("y.main") | (F.col("x.key") < F.col("y.key"))))
-    return both.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    at = cut_lineage(join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner"))
+    sets = map_texts(_texts(docs, nodes, at.select("key"), doc_id, text), ["key"], "_text", _shingle_bytes, "sh binary")
+    sets = cut_lineage(sets.dropDuplicates(["key"]).join(nodes.select("key", "sig"), "key"))
+    # a text's set goes to each of its open buckets once; blocks are balanced by hash
+    part = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / BLOCK))
+    held = at.join(sets, "key").groupBy("bucket", part.alias("part")).agg(
+        F.collect_list(F.struct("key", "comp", (F.col("comp") == F.col("main")).alias("main"), "sig", "sh")).alias("y"))
+    held = cut_lineage(held)
+    open_ = held.select("bucket", F.filter("y", lambda m: ~m["main"]).alias("x")).filter(F.size("x") > 0)
+    both = open_.join(held, "bucket")
+    return cut_lineage(both.select("x", "y").mapInArrow(_compare, "a bigint, b bigint").distinct())
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,10 +243,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     links = verified(docs, nodes, star, doc_id, text)
     comps = cut_lineage(components(links))
-    left = _pairs_left(members, comps).join(star, ["a", "b"], "left_anti")
-    more = verified(docs, nodes, left, doc_id, text)
+    more = _links_left(docs, nodes, members, comps, doc_id, text)
     if more.take(1):
-        links = links.union(more)
+        links = cut_lineage(links.union(more).distinct())
         comps = cut_lineage(components(links))
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
