@@ -46,13 +46,58 @@ def test_keyed_trend_stream_equals_batch(spark):
     from wellspring.streaming.checkins import _trend_state
 
     class _State:
-        exists = False
+        exists = hasTimedOut = False
         def update(self, v): pass
         def setTimeoutDuration(self, ms): pass
 
     got = {}
     for w, g in rows.groupby("worker_id"):
-        for out in _trend_state((w,), iter([g]), _State()):
+        g = g.sort_values("ts", ascending=False)  # two chunks, the later rows first
+        for out in _trend_state((w,), iter([g.iloc[:len(g) // 2], g.iloc[len(g) // 2:]]), _State()):
             for r in out.itertuples(index=False):
                 got[r.checkin_id] = (r.trend, r.consecutive_high_days)
     assert got == batch
+
+
+def test_keyed_trend_drops_state_on_timeout():
+    from wellspring.streaming.checkins import _trend_state
+
+    class _Idle:
+        exists, hasTimedOut, removed = True, True, False
+        def remove(self): self.removed = True
+
+    state = _Idle()
+    assert [len(p) for p in _trend_state((1,), iter([]), state)] == [0] and state.removed
+
+
+def test_guard_survives_column_pruning(spark):
+    import pytest
+    from wellspring.operators.filters import assert_allowed_sources, guard_sources
+    df = spark.createDataFrame([("1", "forum"), ("2", "video"), ("3", None)], "id string, source string")
+    guarded = df.transform(guard_sources(["forum"]))
+    with pytest.raises(Exception, match="source not allowed"):
+        guarded.select("id").collect()
+    with pytest.raises(Exception, match="source not allowed"):
+        guarded.count()
+    assert df.filter("id = 1").transform(guard_sources(["forum"])).count() == 1
+    with pytest.raises(ValueError, match="2 rows"):
+        assert_allowed_sources(df, ["forum"])
+
+
+def test_csv_long_lines_are_skipped_without_columns(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="ws-csv-"), "a.csv")
+    with open(p, "w") as fh:
+        fh.write("id,text\n1,ok\n2,too,many\n3\n")
+    assert sorted((r.id, r.text) for r in FS.read_any(spark, p).collect()) == [("1", "ok"), ("3", None)]
+
+
+def test_large_lexicon_keeps_its_words(spark):
+    import pytest
+    from wellspring.operators.sentiment import valence_compound
+    words = [(f"w{i}", 1.0) for i in range(5000)]
+    lex = spark.createDataFrame(words, "word string, valence double")
+    df = spark.createDataFrame([("a", "w1 W2 x"), ("b", None)], "id string, text string")
+    got = {r.id: r.compound for r in df.transform(valence_compound(lex)).collect()}
+    assert got["b"] == 0 and abs(got["a"] - 2 / 19 ** 0.5) < 1e-12
+    with pytest.raises(ValueError):
+        df.transform(valence_compound(lex.union(lex.limit(1))))

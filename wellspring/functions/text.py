@@ -214,13 +214,14 @@ def keyword_hits(col, keywords, lowered: bool = False) -> Column:
     Pass an already lowercased column with ``lowered=True`` (a column
     reference) so the lambda does not lowercase the text per keyword."""
     low = _c(col) if lowered else F.lower(F.coalesce(_c(col), F.lit("")))
-    kws = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(kws, lambda k: F.instr(low, k) > 0)
+    found = F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in keywords])
+    return F.array_compact(found)
 
 
 def keyword_count(col, keywords, lowered: bool = False) -> Column:
     """TXT11: number of distinct keywords present as substrings."""
-    return F.size(keyword_hits(col, keywords, lowered))
+    low = _c(col) if lowered else F.lower(F.coalesce(_c(col), F.lit("")))
+    return sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0))
 
 
 def snippet(col, n: int = 300) -> Column:

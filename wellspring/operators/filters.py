@@ -152,23 +152,22 @@ def assert_allowed_sources(df: DataFrame, allowed: Iterable[str], stage: str = "
     Runs one distributed distinct over the offending values only."""
     if col not in df.columns:
         return df
-    bad = [r[0] for r in df.filter(disallowed_source(allowed, col)).select(col).distinct().limit(20).collect()]
-    if bad:
+    bad = df.filter(disallowed_source(allowed, col)).agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set(F.coalesce(F.col(col), F.lit("NULL"))).alias("values")).first()
+    if bad["n"]:
         raise DisallowedSourceError(
-            f"[{stage}] Disallowed source(s) detected: {bad}. Only {sorted(allowed)} are permitted.")
+            f"[{stage}] {bad['n']} rows of sources {sorted(bad['values'])}; allowed here: {sorted(allowed)}.")
     return df
 
 
 def guard_sources(allowed: Iterable[str], stage: str = "merge", col: str = "source") -> Op:
-    """GRD1 (lazy): fails the job at execution time via ``raise_error``
-    without an extra pass over the data."""
+    """GRD1 (lazy): fails the job at execution time without an extra pass over the data.
+    The check is a filter, so it also runs where ``col`` itself isn't read."""
     allowed = list(allowed)
 
     def op(df: DataFrame) -> DataFrame:
         if col not in df.columns:
             return df
-        msg = F.concat(F.lit(f"[{stage}] Disallowed source detected: "),
-                       F.coalesce(F.col(col), F.lit("NULL")))
-        check = F.when(disallowed_source(allowed, col), F.raise_error(msg))
-        return df.withColumn(col, F.coalesce(check.cast("string"), F.col(col)))
+        msg = F.concat(F.lit(f"[{stage}] source not allowed: "), F.coalesce(F.col(col), F.lit("NULL")))
+        return df.filter(F.assert_true(~disallowed_source(allowed, col), msg).isNull())
     return op

@@ -236,12 +236,9 @@ def is_warehouse(title: Column, text: Column) -> Column:
     otherwise more warehouse than corporate term hits in the text."""
     t = F.lower(F.coalesce(title.cast("string"), F.lit("")))
     x = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    wh = F.array(*[F.lit(w) for w in WAREHOUSE_TERMS])
-    co = F.array(*[F.lit(w) for w in CORPORATE_TERMS])
-    t_wh = F.exists(wh, lambda k: F.instr(t, k) > 0)
-    t_co = F.exists(co, lambda k: F.instr(t, k) > 0)
-    hits_wh = F.size(F.filter(wh, lambda k: F.instr(x, k) > 0))
-    hits_co = F.size(F.filter(co, lambda k: F.instr(x, k) > 0))
+    hits = lambda c, terms: sum((F.contains(c, F.lit(k)).cast("int") for k in terms), F.lit(0))
+    t_wh, t_co = hits(t, WAREHOUSE_TERMS) > 0, hits(t, CORPORATE_TERMS) > 0
+    hits_wh, hits_co = hits(x, WAREHOUSE_TERMS), hits(x, CORPORATE_TERMS)
     return (F.when((t != "") & t_wh, True).when((t != "") & t_co, False)
              .otherwise(hits_wh > hits_co))
 

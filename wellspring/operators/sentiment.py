@@ -2,10 +2,8 @@
 
 The per-row sentiment libraries of the reference are re-aimed as lexicon
 lookups: a lexicon is an input table ``(word, polarity, subjectivity)`` or
-``(word, valence)``. A lexicon of checked, bounded size is turned into one map
-literal and looked up per token with higher-order functions - no shuffle, no
-Python. Larger lexicons take the distributed path: explode tokens, join the
-lexicon, aggregate per row (partial aggregation), join back.
+``(word, valence)`` of any size. Tokens are exploded, counted per row, joined
+to the lexicon and aggregated per row by a given id; Catalyst chooses the join.
 """
 
 from __future__ import annotations
@@ -22,9 +20,6 @@ from .normalize import is_warehouse
 
 Op = Callable[[DataFrame], DataFrame]
 
-# lexicons up to this many words become a map literal in the plan (a map
-# literal lookup scans its keys, so larger lexicons use a broadcast hash join)
-LEXICON_MAP_LIMIT = 256
 WORD_PATTERN = T.WORD_CLASS + "+"
 # published VADER normalisation constant (Hutto & Gilbert, 2014)
 VADER_ALPHA = 15.0
@@ -35,53 +30,34 @@ def word_tokens(col) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD_PATTERN})"), 1)
 
 
-def _lexicon_dict(lexicon: DataFrame, value_cols: Sequence[str]) -> dict | None:
-    n = lexicon.count()
-    if n > LEXICON_MAP_LIMIT:
-        return None
-    rows = lexicon.select(F.lower("word").alias("word"), *value_cols).collect()
-    return {r["word"]: tuple(float(r[c]) for c in value_cols) for r in rows}
+def _lexicon(lexicon: DataFrame, value_cols: Sequence[str]) -> DataFrame:
+    """The lexicon by lower-cased word; a word given twice raises."""
+    out = lexicon.select(F.lower("word").alias("_tok"), *[F.col(c).cast("double").alias(c) for c in value_cols])
+    twice = out.groupBy("_tok").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_tok").take(1)
+    if twice:
+        raise ValueError(f"lexicon lists a word more than once: {twice[0][0]!r}")
+    return out
 
 
-def _map_literal(d: Mapping[str, float]) -> Column:
-    if not d:
-        return F.create_map().cast("map<string,double>")
-    keys = sorted(d)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(float(d[k])) for k in keys]))
+def _matched(df: DataFrame, lexicon: DataFrame, text_col: str, id_col: str, aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates over a row's lexicon tokens, joined back by ``id_col`` (unique and not NULL).
 
-
-def _mean(arr: Column) -> Column:
-    s = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(arr) > 0, s / F.size(arr)).otherwise(F.lit(0.0))
+    Tokens are counted per row before the join, so a frequent word costs one row a document.
+    """
+    tokens = df.select(F.col(id_col).alias("_id"), F.explode(word_tokens(text_col)).alias("_tok"))
+    tokens = tokens.groupBy("_id", "_tok").agg(F.count(F.lit(1)).alias("_n"))
+    scored = tokens.join(lexicon, "_tok").groupBy("_id").agg(*aggs)
+    return df.join(scored, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
-def lexicon_features(lexicon: DataFrame, text_col: str = "text", id_col: str | None = None) -> Op:
+def lexicon_features(lexicon: DataFrame, text_col: str = "text", id_col: str = "id") -> Op:
     """Adds ``polarity`` and ``subjectivity``: means over matched tokens
     (each occurrence counts), 0.0 when nothing matches."""
     def op(df: DataFrame) -> DataFrame:
-        d = _lexicon_dict(lexicon, ["polarity", "subjectivity"])
-        if d is not None:
-            pol = _map_literal({k: v[0] for k, v in d.items()})
-            sub = _map_literal({k: v[1] for k, v in d.items()})
-            toks = word_tokens(text_col)
-            hits = F.filter(toks, lambda t: F.array_contains(F.map_keys(pol), t))
-            return (df.withColumn("_hits", hits)
-                      .withColumn("polarity", _mean(F.transform("_hits", lambda t: F.element_at(pol, t))))
-                      .withColumn("subjectivity", _mean(F.transform("_hits", lambda t: F.element_at(sub, t))))
-                      .drop("_hits"))
-        key = id_col or "_lex_row"
-        base = df if id_col else df.withColumn(key, F.monotonically_increasing_id())
-        lex = lexicon.select(F.lower("word").alias("_tok"), "polarity", "subjectivity")
-        if lexicon.count() <= 5_000_000:
-            lex = F.broadcast(lex)
-        scored = (base.select(key, F.explode(word_tokens(text_col)).alias("_tok"))
-                      .join(lex, "_tok")
-                      .groupBy(key).agg(F.avg("polarity").alias("polarity"),
-                                        F.avg("subjectivity").alias("subjectivity")))
-        out = (base.join(scored, key, "left")
-                   .fillna({"polarity": 0.0, "subjectivity": 0.0}))
-        return out if id_col else out.drop(key)
+        cols = ["polarity", "subjectivity"]
+        # summed as decimals (9 places), so that the order of rows can't move a mean over a label's threshold
+        means = [(F.sum(F.col(c).cast("decimal(18,9)") * F.col("_n")).cast("double") / F.sum("_n")).alias(c) for c in cols]
+        return _matched(df.drop(*cols), _lexicon(lexicon, cols), text_col, id_col, means).fillna({c: 0.0 for c in cols})
     return op
 
 
@@ -105,18 +81,18 @@ def polarity_confidence(p: Column, label: Column) -> Column:
     return F.greatest(conf, F.lit(0.0))
 
 
-def valence_compound(lexicon: DataFrame, text_col: str = "text") -> Column:
-    """SEN2: sum of token valences normalised by ``s / sqrt(s^2 + 15)``."""
-    d = _lexicon_dict(lexicon, ["valence"]) or {}
-    val = _map_literal({k: v[0] for k, v in d.items()})
-    toks = word_tokens(text_col)
-    s = F.aggregate(F.transform(toks, lambda t: F.coalesce(F.try_element_at(val, t), F.lit(0.0))),
-                    F.lit(0.0), lambda acc, x: acc + x)
-    return s / F.sqrt(s * s + F.lit(VADER_ALPHA))
+def valence_compound(lexicon: DataFrame, text_col: str = "text", id_col: str = "id") -> Op:
+    """SEN2: adds ``compound``, the sum of token valences normalised by ``s / sqrt(s^2 + 15)``."""
+    def op(df: DataFrame) -> DataFrame:
+        out = _matched(df.drop("compound"), _lexicon(lexicon, ["valence"]), text_col, id_col,
+                       [F.sum(F.col("valence") * F.col("_n")).alias("compound")])
+        s = F.coalesce(F.col("compound"), F.lit(0.0))
+        return out.withColumn("compound", s / F.sqrt(s * s + F.lit(VADER_ALPHA)))
+    return op
 
 
 def add_sentiment(mode: str = "none", lexicon: DataFrame | None = None,
-                  text_col: str = "text") -> Op:
+                  text_col: str = "text", id_col: str = "id") -> Op:
     """SEN1: three fixed output columns; the strategy is chosen at plan time.
 
     * ``none``     -> NULL, NULL, 'none'
@@ -130,12 +106,12 @@ def add_sentiment(mode: str = "none", lexicon: DataFrame | None = None,
                       .withColumn("sentiment_label", F.lit(None).cast("string"))
                       .withColumn("sentiment_source", F.lit("none")))
         if mode == "vader":
-            comp = valence_compound(lexicon, text_col)
-            return (df.withColumn("sentiment_score", comp)
+            return (df.transform(valence_compound(lexicon, text_col, id_col))
+                      .withColumnRenamed("compound", "sentiment_score")
                       .withColumn("sentiment_label", compound_label(F.col("sentiment_score")))
                       .withColumn("sentiment_source", F.lit("vader")))
         if mode == "textblob":
-            out = df.transform(lexicon_features(lexicon, text_col))
+            out = df.transform(lexicon_features(lexicon, text_col, id_col))
             return (out.withColumn("sentiment_score", F.col("polarity"))
                        .withColumn("sentiment_label", polarity_label(F.col("polarity")))
                        .withColumn("sentiment_source", F.lit("textblob"))
@@ -161,11 +137,11 @@ def themes_detected(themes: Mapping[str, Sequence[str]] = KEYWORD_THEMES, text_c
 
 
 def label_table(lexicon: DataFrame, themes: Mapping[str, Sequence[str]] = KEYWORD_THEMES,
-                text_col: str = "text", title_col: str = "employee_job_title") -> Op:
+                text_col: str = "text", title_col: str = "employee_job_title", id_col: str = "id") -> Op:
     """SEN6: polarity/subjectivity (4 dp), label, confidence (4 dp), theme
     counts, warehouse flag and word count. Empty text is neutral with 0.0."""
     def op(df: DataFrame) -> DataFrame:
-        out = df.transform(lexicon_features(lexicon, text_col))
+        out = df.transform(lexicon_features(lexicon, text_col, id_col))
         empty = F.coalesce(F.col(text_col), F.lit("")) == ""
         p = F.when(empty, F.lit(0.0)).otherwise(F.col("polarity"))
         s = F.when(empty, F.lit(0.0)).otherwise(F.col("subjectivity"))

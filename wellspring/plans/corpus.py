@@ -30,7 +30,7 @@ class CorpusOptions:
     min_score: int | None = 2
     date_from: str | None = "2020-01-01"
     date_to: str | None = "2024-12-31"
-    max_per_channel: int | None = 25_000
+    max_per_channel: int | None = None
     sentiment_mode: str = "none"
     allowed_sources: tuple = ("forum", "reviews")
     seed: int = 42

@@ -17,7 +17,8 @@ from ..operators.merge import merge_sources
 from ..operators.normalize import normalize_forum
 from ..operators.reports import top_values, value_counts
 from ..operators.sampling import cap_per_group, stratified_sample
-from ..operators.sentiment import label_table, themes_detected
+from ..operators.sentiment import (compound_label, label_table, lexicon_features, polarity_label, themes_detected,
+                                   valence_compound, word_tokens)
 from ..sources import views as V
 from ..sources.tables import read_table
 from . import sqltext as S
@@ -66,7 +67,7 @@ def _forum_stage_sql(name: str, where: str, opt: CorpusOptions) -> str:
     AND coalesce(TRY_CAST(CAST(score AS VARCHAR) AS DOUBLE), 0) >= {opt.min_score}),
 {name}_b AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY _row_ord) AS rn FROM {name}_a) WHERE rn = 1),
 {name}_c AS (SELECT * FROM {name}_b WHERE created_utc >= TIMESTAMP '{opt.date_from}' AND created_utc <= TIMESTAMP '{opt.date_to}'),
-{name} AS (SELECT * EXCLUDE (rn), 'forum' AS src2 FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY {S.sample_key('id', opt.seed)}, id) AS rn FROM {name}_c) WHERE rn <= {opt.max_per_channel})"""
+{name} AS (SELECT * EXCLUDE (rn), 'forum' AS src2 FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY {S.sample_key('id', opt.seed)}, id) AS rn FROM {name}_c) WHERE {f"rn <= {opt.max_per_channel}" if opt.max_per_channel else "true"})"""
 
 
 def redact_sql(expr: str) -> str:
@@ -318,8 +319,8 @@ def _contains_any_sql(expr: str, words) -> list:
 
 def oracle_labelled_corpus() -> str:
     from ..functions.vocab import CORPORATE_TERMS, WAREHOUSE_TERMS
-    pol_case = "CASE x " + " ".join(f"WHEN {S.q(w)} THEN CAST({p} AS DOUBLE)" for w, p, _ in FIXTURE_LEXICON) + " END"
-    sub_case = "CASE x " + " ".join(f"WHEN {S.q(w)} THEN CAST({s} AS DOUBLE)" for w, _, s in FIXTURE_LEXICON) + " END"
+    pol_case = "CASE x " + " ".join(f"WHEN {S.q(w)} THEN CAST({p} AS DECIMAL(30,9))" for w, p, _ in FIXTURE_LEXICON) + " END"
+    sub_case = "CASE x " + " ".join(f"WHEN {S.q(w)} THEN CAST({s} AS DECIMAL(30,9))" for w, _, s in FIXTURE_LEXICON) + " END"
     low = "lower(coalesce(text, ''))"
     themes = ",\n  ".join(f"({' + '.join(_contains_any_sql(low, kws))}) AS {name}_keywords"
                            for name, kws in FIXTURE_THEMES.items())
@@ -327,16 +328,18 @@ def oracle_labelled_corpus() -> str:
                             for name, kws in FIXTURE_THEMES.items())
     wh = " + ".join(_contains_any_sql(low, WAREHOUSE_TERMS))
     co = " + ".join(_contains_any_sql(low, CORPORATE_TERMS))
+    # half up on the number as it prints, as Spark rounds doubles
+    shown = lambda x: f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,18)), 4) AS DOUBLE)"
     return f"""{V.oracle_with('corpus')},
 t AS (SELECT c.*, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM corpus c),
 v AS (SELECT *, list_filter(list_transform(toks, lambda x: {pol_case}), lambda y: y IS NOT NULL) AS pv,
         list_filter(list_transform(toks, lambda x: {sub_case}), lambda y: y IS NOT NULL) AS sv FROM t),
 b AS (SELECT *, coalesce(text, '') = '' AS empty,
-        CASE WHEN coalesce(text, '') = '' OR len(pv) = 0 THEN 0.0 ELSE list_reduce(pv, lambda a, z: a + z) / len(pv) END AS p,
-        CASE WHEN coalesce(text, '') = '' OR len(sv) = 0 THEN 0.0 ELSE list_reduce(sv, lambda a, z: a + z) / len(sv) END AS s
+        CASE WHEN coalesce(text, '') = '' OR len(pv) = 0 THEN 0.0 ELSE CAST(list_reduce(pv, lambda a, z: a + z) AS DOUBLE) / len(pv) END AS p,
+        CASE WHEN coalesce(text, '') = '' OR len(sv) = 0 THEN 0.0 ELSE CAST(list_reduce(sv, lambda a, z: a + z) AS DOUBLE) / len(sv) END AS s
       FROM v),
 l AS (SELECT *, CASE WHEN p > 0.1 THEN 'positive' WHEN p < -0.1 THEN 'negative' ELSE 'neutral' END AS lab FROM b)
-SELECT id, {S.rnd('p', 4)} AS polarity, {S.rnd('s', 4)} AS subjectivity, lab AS sentiment_label,
+SELECT id, {shown('p')} AS polarity, {shown('s')} AS subjectivity, lab AS sentiment_label,
   CAST(round(CAST(CASE WHEN empty THEN 0.0 ELSE greatest(
     CASE WHEN lab = 'positive' THEN least((p - 0.1) / 0.9, 1.0)
          WHEN lab = 'negative' THEN least((-0.1 - p) / 0.9, 1.0)
@@ -346,3 +349,46 @@ SELECT id, {S.rnd('p', 4)} AS polarity, {S.rnd('s', 4)} AS subjectivity, lab AS
   {S.word_count("coalesce(text, '')")} AS word_count,
   concat_ws(',', {theme_names}) AS themes
 FROM l"""
+
+
+# ------------------------------------------- sentiment by a large lexicon (SEN2-SEN4)
+# The lexicon is derived from the tables: every word of the corpus, with values from its length.
+def word_lexicon(corpus: DataFrame) -> DataFrame:
+    n = F.length("word")
+    return (corpus.select(F.explode(F.array_distinct(word_tokens("text"))).alias("word")).distinct()
+            .select("word", ((n * 7) % 21 - 10).cast("double").alias("valence"),
+                    (((n * 5) % 19 - 9) / 10).alias("polarity"), ((n % 11) / 10).alias("subjectivity")))
+
+
+_WORDS_SQL = """toks AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS word FROM corpus),
+hits AS (SELECT id, (length(word) * 7) % 21 - 10 AS valence, (length(word) * 5) % 19 - 9 AS polarity,
+  length(word) % 11 AS subjectivity FROM toks),
+sums AS (SELECT id, sum(valence) AS v, sum(polarity) AS p, sum(subjectivity) AS s, count(*) AS n FROM hits GROUP BY id)"""
+
+
+def q_sentiment_compound(spark: SparkSession, data_dir: str) -> DataFrame:
+    c = V.corpus(spark, data_dir)
+    out = c.transform(valence_compound(word_lexicon(c)))
+    return out.select("id", F.round("compound", 6).alias("compound"),
+                      compound_label(F.round("compound", 9)).alias("label"))
+
+
+def oracle_sentiment_compound() -> str:
+    return f"""{V.oracle_with('corpus')}, {_WORDS_SQL},
+s2 AS (SELECT c.id, coalesce(v, 0) / sqrt(coalesce(v, 0) * coalesce(v, 0) + 15.0) AS x FROM corpus c LEFT JOIN sums USING (id))
+SELECT id, round(x, 6) AS compound, CASE WHEN round(x, 9) >= 0.05 THEN 'positive' WHEN round(x, 9) <= -0.05 THEN 'negative'
+  ELSE 'neutral' END AS label FROM s2"""
+
+
+def q_sentiment_polarity(spark: SparkSession, data_dir: str) -> DataFrame:
+    c = V.corpus(spark, data_dir)
+    out = c.transform(lexicon_features(word_lexicon(c)))
+    return out.select("id", F.round("polarity", 6).alias("polarity"), F.round("subjectivity", 6).alias("subjectivity"),
+                      polarity_label(F.col("polarity")).alias("label"))
+
+
+def oracle_sentiment_polarity() -> str:
+    return f"""{V.oracle_with('corpus')}, {_WORDS_SQL},
+s2 AS (SELECT c.id, coalesce(p / 10.0 / n, 0) AS p, coalesce(s / 10.0 / n, 0) AS s FROM corpus c LEFT JOIN sums USING (id))
+SELECT id, round(p, 6) AS polarity, round(s, 6) AS subjectivity, CASE WHEN round(p, 9) > 0.1 THEN 'positive'
+  WHEN round(p, 9) < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM s2"""

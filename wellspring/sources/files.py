@@ -34,8 +34,9 @@ def read_csv_skip_bad(spark: SparkSession, path: str, columns: list[str] | None
     """
     reader = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
                    .option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE"))
-    if columns is None:
-        return reader.csv(path)
+    if columns is None:  # the header names the columns
+        columns = spark.read.option("header", True).option("quote", '"').option("escape", '"').option(
+            "encoding", encoding).csv(path).columns
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField(_BAD, StringType())])
     df = reader.schema(schema).csv(path)
     return df.filter(F.col(_BAD).isNull()).drop(_BAD)

@@ -23,11 +23,13 @@ from ..sources.views import checkin_projection
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, data_dir: str, max_files: int = 1) -> DataFrame:
-    """File stream over ``events.parquet`` files of a folder; ``ts`` becomes
-    a session-zone timestamp for watermarks and windows."""
-    s = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
-              .option("maxFilesPerTrigger", max_files).parquet(data_dir))
+def event_stream(spark: SparkSession, data_dir: str, max_files: int | None = None) -> DataFrame:
+    """File stream over ``events.parquet``, one file or a folder of part files; ``ts``
+    becomes a session-zone timestamp for watermarks and windows."""
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    s = reader.parquet(f"{data_dir.rstrip('/')}/events.parquet*")
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -52,8 +54,9 @@ def dedup_posts(posts: DataFrame, watermark: str = "1 day", key: str = "id", ts:
 def feedback_join(checkins: DataFrame, feedback: DataFrame, bound: str = "1 day") -> DataFrame:
     """STR4: feedback joined to its check-in within a time bound."""
     c = checkins.withWatermark("ts", bound).alias("c")
-    f = feedback.withWatermark("feedback_ts", bound).alias("f")
-    return c.join(f, F.expr(f"c.checkin_id = f.checkin_id AND f.feedback_ts BETWEEN c.ts AND c.ts + INTERVAL {bound}"))
+    f = feedback.withColumnRenamed("checkin_id", "_checkin").withWatermark("feedback_ts", bound).alias("f")
+    return c.join(f, F.expr(f"c.checkin_id = f._checkin AND f.feedback_ts BETWEEN c.ts AND c.ts + INTERVAL {bound}")
+                  ).drop("_checkin")
 
 
 STATE_SCHEMA = "recent array<double>, run long, seen long"
@@ -64,23 +67,29 @@ OUT_SCHEMA = ("checkin_id long, worker_id long, ts timestamp, score double, tren
 def _trend_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """STR2: last 7 scores (newest first), run of scores > 60 and count per
     worker; same rule as the batch ``score_trend`` when rows arrive in order."""
+    columns = ["checkin_id", "worker_id", "ts", "score", "trend", "consecutive_high_days"]
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame([], columns=columns)
+        return
     recent, run, seen = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+    # a worker's rows of this batch may come in several chunks of any order
+    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "checkin_id"], ignore_index=True)
     out = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["ts", "checkin_id"]).itertuples(index=False):
-            s = float(r.score)
-            trend, streak = None, 0
-            if seen >= 2:
-                avg = sum(recent) / len(recent)
-                trend = "worsening" if s > avg + 8 else "improving" if s < avg - 8 else "stable"
-                streak = run + (1 if s > 60 else 0)
-            out.append((r.checkin_id, r.worker_id, r.ts, s, trend, streak))
-            recent = ([s] + recent)[:7]
-            run = run + 1 if s > 60 else 0
-            seen += 1
+    for checkin, worker, ts, score in zip(rows["checkin_id"], rows["worker_id"], rows["ts"], rows["score"]):
+        s = float(score)
+        trend, streak = None, 0
+        if seen >= 2:
+            avg = sum(recent) / len(recent)
+            trend = "worsening" if s > avg + 8 else "improving" if s < avg - 8 else "stable"
+            streak = run + (1 if s > 60 else 0)
+        out.append((checkin, worker, ts, s, trend, streak))
+        recent = ([s] + recent)[:7]
+        run = run + 1 if s > 60 else 0
+        seen += 1
     state.update((recent, run, seen))
     state.setTimeoutDuration(7 * 24 * 3600 * 1000)
-    yield pd.DataFrame(out, columns=["checkin_id", "worker_id", "ts", "score", "trend", "consecutive_high_days"])
+    yield pd.DataFrame(out, columns=columns)
 
 
 def keyed_trend(scored: DataFrame) -> DataFrame:
