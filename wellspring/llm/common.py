@@ -20,7 +20,7 @@ PAGE_BITS = 32768
 
 #: Rows and characters that a Python worker holds decoded at a time.
 BLOCK_ROWS = 256
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 18
 
 _LOWEST = -(1 << 63)
 
