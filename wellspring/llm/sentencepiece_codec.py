@@ -34,8 +34,8 @@ from wellspring.llm.common import bounded_batches, map_texts
 MARK = "▁"
 UNKNOWN = 10.0
 LOCKSTEP = 40
-#: Stretches that a worker remembers (about 50 MB); short ones come again in every block.
-KNOWN = 250_000
+#: Stretches that a worker remembers (about 15 MB); short ones come again in every block.
+KNOWN = 50_000
 
 _STRETCH = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
