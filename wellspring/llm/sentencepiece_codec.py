@@ -218,11 +218,10 @@ class Vocabulary:
         number, distinct = pd.factorize(np.array(flat, dtype=object))
         distinct = list(distinct)
         new = [t for t in distinct if t not in self.known]
-        if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
-            new = distinct
-        self.known.update(zip(new, self.segment(new)))
-        ids = [self.known[t] for t in distinct]
+        made = dict(zip(new, self.segment(new)))
+        ids = [self.known.get(t) or made[t] for t in distinct]
+        if len(self.known) < KNOWN:  # the first ones seen are mostly the frequent ones
+            self.known.update(made)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         pool = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
