@@ -105,4 +105,22 @@ QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_url_filter, op4_line_dedup, op5_toxicity, op6_quality_rules, op7_minhash,
     op8_language_id, op9_quality_classifier, op10_mixing)}
 
-ORACLES: dict[str, str] = {}
+# DuckDB twins. The mixture's twin has one Poisson part: no source's rate is over 8 in the given tables.
+ORACLES: dict[str, str] = {
+    "op1_exact_dedup": r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS x
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(x) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY x ORDER BY len DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
+    "op10_mixing": """
+WITH c AS (SELECT source, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM c) / (SELECT sum(w) FROM c) * w / n AS rate FROM c),
+u AS (SELECT d.*, r.rate, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':1'), 1, 13) AS BIGINT)
+  / 4503599627370496.0 AS u FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT * EXCLUDE (rate, u), len(list_filter(range(0, 40), lambda j: list_sum(list_transform(range(0, j + 1),
+  lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1))) <= u)) AS n_copies FROM u),
+e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM k)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no, CAST(n_copies AS INTEGER) AS n_copies,
+  md5('shuffle-17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no) AS shuffle_key FROM e""",
+}
