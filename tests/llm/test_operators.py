@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 
 import duckdb
@@ -83,6 +84,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, j) for j in range(200, 230)] + [(300, 301), (301, 302), (302, 300)]
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[j] for j in range(200, 230)} == {100} and got[302] == 300
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    rng = random.Random(4)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)]
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in least:  # the least neighbour, until nothing changes
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.node, r.comp) for r in got) == sorted(least.items())
 
 
 def viterbi(v, text):

@@ -3,6 +3,7 @@ joins that survive a hot key, bounded Arrow blocks and connected components."""
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -45,6 +46,13 @@ def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Collect garbage on the driver: only then does Spark remove the shuffle files and checkpoints
+    of tables that nobody refers to, and a job of many small steps keeps those of all of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ----------------------------------------------------------------- Bloom filters
 
 
@@ -171,7 +179,7 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, fn: Callable[[list[
 def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, comp)``: connected components of undirected ``links(a, b)`` (long), the least
     node naming each. Alternates large-star and small-star steps, every one a grouped
-    minimum plus a join, until nothing changes; each round is checkpointed."""
+    minimum plus a join, until only stars are left; each round is checkpointed."""
     def oriented(df: DataFrame) -> DataFrame:
         return df.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -188,19 +196,20 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
                 least.select("a", F.col("m").alias("b")))
         return oriented(out)
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stand(df: DataFrame) -> tuple[int, bool]:
+        """Edges, and whether some node is not yet in a star: it has two lesser neighbours, or a lesser and a greater."""
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                 F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        seen = df.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        n, open_ = seen.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+        return n or 0, bool(open_)
 
     edges = cut_lineage(oriented(links))
-    seen = mark(edges)
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        edges = cut_lineage(star(star(edges, 2 * seen[0], True), seen[0], False))
-        now = mark(edges)
-        if now == seen:
+        n, open_ = stand(edges)
+        if not open_:
             break
-        seen = now
+        edges = cut_lineage(star(star(edges, 2 * n, True), n, False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import ngrams
-from wellspring.llm.common import (blocks, bounded_batches, components, id_or_lowest, join_groups, map_texts,
-                                   only_possible)
+from wellspring.llm.common import (blocks, bounded_batches, components, drop_unused, id_or_lowest, join_groups,
+                                   map_texts, only_possible)
 from wellspring.session import cut_lineage
 
 SHINGLE = 5
@@ -223,7 +223,8 @@ def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: Da
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (its class's smallest doc_id), class_size (documents),
     n_links (verified links of its text) and kept (one document of each class)."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(doc_id, text)
     rows = map_texts(docs.select(id_or_lowest(F.col(doc_id)).alias("id"), F.col(doc_id).isNull().alias("no_id"), text),
                      ["id", "no_id"], text, describe, "key bigint, n bigint, bands array<bigint>, sig binary")
@@ -233,20 +234,27 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     what = rows.join(nodes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
     nodes = cut_lineage(nodes.join(what.select("key", "n", "bands", "sig"), "key"))
 
-    bands = nodes.select(F.explode("bands").alias("bucket"), "key", "n")
+    bands = nodes.select(F.explode("bands").alias("bucket"), "key")
     bands = bands.withColumn("turn", F.xxhash64("bucket", "key"))
     shared = bands.groupBy("bucket").agg(F.min("turn").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut_lineage(bands.join(shared, "bucket"))
-    hubs = members.filter("turn = least").select("bucket", F.col("key").alias("hub"), "size")
-    star = join_groups(members.drop("size").filter("turn <> least"), hubs, "bucket", "size", max(1, members.count()),
-                       ["key"], how="inner")
+    members = cut_lineage(bands.join(shared, "bucket").select(
+        "bucket", "key", "size", (F.col("turn") == F.col("least")).alias("first")))
+    hubs = members.filter("first").select("bucket", F.col("key").alias("hub"), "size")
+    star = join_groups(members.filter("not first").select("bucket", "key"), hubs, "bucket", "size",
+                       max(1, members.count()), ["key"], how="inner")
     star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
     links = verified(docs, nodes, star, doc_id, text)
+    del bands, shared, hubs, star
+    drop_unused(spark)
     comps = cut_lineage(components(links))
+    drop_unused(spark)
     more = _links_left(docs, nodes, members, comps, doc_id, text)
+    del members
+    drop_unused(spark)
     if more.take(1):
         links = cut_lineage(links.union(more).distinct())
-        comps = cut_lineage(components(links))
+        # the classes so far are stars already: a few rounds join them
+        comps = cut_lineage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_links"))
@@ -277,6 +285,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     cols = docs.columns
     judged = classes(docs, doc_id, text).select(id_or_lowest(F.col("doc_id")).alias("_id"), "kept", "text_key")
     judged = cut_lineage(judged)
+    drop_unused(docs.sparkSession)
     ids = judged.groupBy("_id").agg(F.sum(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_all"))
     ids = cut_lineage(ids.filter("_kept < _all").withColumnRenamed("_id", "_lost"))
     marked = docs.withColumn("_lost", id_or_lowest(F.col(doc_id)))
