@@ -171,7 +171,8 @@ def redact(col) -> Column:
     Blank or NULL text is returned unchanged."""
     c = _c(col)
     r = F.regexp_replace(c, REDACT_URL_PATTERN, REDACT_URL)
-    r = F.regexp_replace(r, REDACT_EMAIL_PATTERN, REDACT_EMAIL)
+    # the pattern backtracks over long unbroken tokens, so only texts that can match are searched
+    r = F.when(F.contains(r, F.lit("@")), F.regexp_replace(r, REDACT_EMAIL_PATTERN, REDACT_EMAIL)).otherwise(r)
     r = F.regexp_replace(r, REDACT_PHONE_PATTERN, REDACT_PHONE)
     return F.when(c.isNull() | is_blank(c), c).otherwise(r)
 

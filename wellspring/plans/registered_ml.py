@@ -1,8 +1,8 @@
 """Registered MLlib queries (no SQL twin: iterative fits).
 
-Invariants are tested in ``tests/test_ml.py``: every row is assigned to its
-nearest centroid, the chosen k has the highest silhouette, fits repeat with
-the same seeds.
+``tests/test_ml.py`` holds the topic operators against invariants: every row is
+assigned to its nearest centroid, the chosen k has the highest silhouette, fits
+repeat with the same seeds. The classifier has no such test yet.
 """
 
 from __future__ import annotations
