@@ -125,4 +125,4 @@ def merge_sources(frames: Mapping[str, DataFrame], deduplicate: bool = True,
     merged = union_all(parts).transform(guard_sources(allowed, stage="merge_sources"))
     if deduplicate:
         merged = merged.transform(keep_first(["text"], ["_src_ord", "_row_ord"]))
-    return merged
+    return merged.drop("_src_ord", "_row_ord")
