@@ -3,24 +3,23 @@
 ML3, ML5, ML6, AGG5-AGG7, JOI7, SMP3. Shuffles are limited to partial
 aggregations (term document frequency, per-cluster vector sums); vectors
 are summed with MLlib's ``Summarizer`` one row per cluster per partition.
-Everything that is collected or broadcast has a proven bound: the
-vocabulary (<= ``max_features``), per-cluster statistics (k x d).
+Everything that is collected or broadcast has a proven bound: per-cluster
+statistics (k x d).
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import default_stop_words, dot, sq_distance, sq_norm
+from ..session import cut_lineage
 
 # per-cluster statistics are broadcast only below this many doubles (k * d)
 MAX_BROADCAST_DOUBLES = 20_000_000
@@ -45,59 +44,34 @@ def remove_stop_words(df: DataFrame, in_col: str, out_col: str,
                             caseSensitive=True).transform(df)
 
 
-def fit_vocabulary(docs: DataFrame, terms_col: str, min_df: float = 3, max_df: float = 0.85,
-                   max_features: int = 10_000) -> tuple[list[str], list[int], int]:
-    """Terms kept by document-frequency bounds, then the ``max_features`` most
-    frequent (ties by term). Returns (terms, doc freqs, n_docs). Two partial
-    aggregations on term (document and total frequency); the collected
-    result is bounded by ``max_features``."""
+def weighted_terms(docs: DataFrame, terms_col: str = "_terms", min_df: float = 3, max_df: float = 0.85) -> DataFrame:
+    """TF-IDF as a long table ``(id, cluster_id, term, w)`` from ``docs(id, cluster_id, terms_col)``.
+
+    Terms within the document-frequency bounds; count x (``ln((1 + n) / (1 + df)) + 1``),
+    L2-normalised by document. No limit on the vocabulary, and nothing of it is collected:
+    every step is a partial aggregation or a join. ``id`` names a document."""
     n_docs = docs.count()
     lo = min_df if min_df >= 1 else min_df * n_docs
     hi = max_df if (isinstance(max_df, int) or max_df > 1) else max_df * n_docs
-    dfreq = (docs.select(F.explode(F.array_distinct(F.col(terms_col))).alias("term"))
-                 .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                 .filter((F.col("df") >= lo) & (F.col("df") <= hi)))
-    tfreq = docs.select(F.explode(F.col(terms_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("ttf"))
-    stats = dfreq.join(tfreq, "term")
-    if max_features:
-        stats = stats.orderBy(F.col("ttf").desc(), F.col("term").asc()).limit(max_features)
-    rows = stats.collect()
-    rows.sort(key=lambda r: r["term"])
-    return [r["term"] for r in rows], [int(r["df"]) for r in rows], n_docs
-
-
-def smooth_idf(dfs: Sequence[int], n_docs: int) -> list[float]:
-    """``ln((1 + n) / (1 + df)) + 1`` (MLlib's IDF omits the ``+ 1``)."""
-    return [math.log((1 + n_docs) / (1 + d)) + 1.0 for d in dfs]
-
-
-def tfidf_vectors(docs: DataFrame, terms_col: str, vocab: list[str], idf: list[float],
-                  out_col: str = "tfidf") -> DataFrame:
-    """Raw counts over a fixed vocabulary x smooth idf, L2-normalised rows."""
-    cv = CountVectorizerModel.from_vocabulary(vocab, inputCol=terms_col, outputCol="_tf")
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
-    norm = Normalizer(p=2.0, inputCol="_w", outputCol=out_col)
-    return norm.transform(scaled.transform(cv.transform(docs))).drop("_tf", "_w")
+    counts = cut_lineage(docs.select("id", "cluster_id", F.explode(terms_col).alias("term"))
+                         .groupBy("id", "cluster_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(lo, hi))
+    idf = idf.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1.0).alias("idf"))
+    weights = counts.join(idf, "term").select("id", "cluster_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weights.join(norm, "id").select("id", "cluster_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def cluster_keywords(df: DataFrame, text_col: str = "text", cluster_col: str = "cluster_id",
                      n_keywords: int = 10, min_df: float = 3, max_df: float = 0.85,
-                     max_features: int = 10_000, stop_words: Sequence[str] | None = None) -> DataFrame:
+                     stop_words: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
     """ML5: TF-IDF summed per cluster, top ``n_keywords`` terms with positive
     weight -> (cluster_id, rank 1.., term, weight)."""
-    docs = with_analyzed_terms(df.select(F.col(cluster_col).alias("cluster_id"), F.col(text_col)),
-                               text_col, "_terms", stop_words).select("cluster_id", "_terms")
-    vocab, dfs, n_docs = fit_vocabulary(docs, "_terms", min_df, max_df, max_features)
-    spark = df.sparkSession
-    if not vocab:
-        return spark.createDataFrame([], "cluster_id int, rank int, term string, weight double")
-    vecs = tfidf_vectors(docs, "_terms", vocab, smooth_idf(dfs, n_docs))
-    sums = (vecs.groupBy("cluster_id").agg(Summarizer.sum(F.col("tfidf")).alias("_s"))
-                .select("cluster_id", F.posexplode(vector_to_array("_s")).alias("_pos", "weight"))
-                .filter(F.col("weight") > 0))
-    terms = F.broadcast(spark.createDataFrame(list(enumerate(vocab)), "_pos int, term string"))
+    docs = with_analyzed_terms(df.select(F.col(id_col).alias("id"), F.col(cluster_col).alias("cluster_id"), F.col(text_col)),
+                               text_col, "_terms", stop_words).select("id", "cluster_id", "_terms")
+    sums = weighted_terms(docs, "_terms", min_df, max_df).groupBy("cluster_id", "term").agg(F.sum("w").alias("weight"))
     w = Window.partitionBy("cluster_id").orderBy(F.col("weight").desc(), F.col("term").asc())
-    return (sums.join(terms, "_pos")
+    return (sums.filter(F.col("weight") > 0)
                 .withColumn("rank", F.row_number().over(w))
                 .filter(F.col("rank") <= n_keywords)
                 .select("cluster_id", "rank", "term", "weight"))

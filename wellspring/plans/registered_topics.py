@@ -56,7 +56,7 @@ tk AS (SELECT id, cluster_id, {big} AS terms FROM tk0),
 dt AS (SELECT id, cluster_id, term, count(*) AS tf FROM (SELECT id, cluster_id, unnest(terms) AS term FROM tk) GROUP BY ALL),
 nd AS (SELECT count(*) AS n FROM ec),
 dfs AS (SELECT term, count(*) AS df, sum(tf) AS ttf FROM dt GROUP BY term),
-vocab AS (SELECT term, df FROM dfs, nd WHERE df >= 3 AND df <= 0.85 * n ORDER BY ttf DESC, term LIMIT 10000),
+vocab AS (SELECT term, df FROM dfs, nd WHERE df >= 3 AND df <= 0.85 * n),
 wt AS (SELECT dt.id, dt.cluster_id, dt.term, dt.tf * (ln((1 + nd.n) / (1 + v.df)) + 1) AS w FROM dt JOIN vocab v USING (term), nd),
 nrm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM wt GROUP BY id),
 cs AS (SELECT wt.cluster_id, wt.term, sum(wt.w / nrm.norm) AS weight FROM wt JOIN nrm USING (id) GROUP BY ALL),
