@@ -1,17 +1,21 @@
-"""Line dedup by winnowing: repeated runs of lines are found and the later ones deleted.
+"""Line dedup: runs of lines that occur again are found and the later ones deleted.
 
-A document is the sequence of its non-empty lines, each hashed without white space.
-Fingerprints are the minima, in every window of ``window`` neighbours, of the hashes
-of ``gram`` consecutive lines; so of any shared run of ``gram + window - 1`` lines at
-least one fingerprint is the same on both sides. A line of ``min_words`` words is a
-run by itself, and its own hash is a fingerprint too.
+A document is the sequence of its non-empty lines, each hashed without white space. A run
+of lines that has ``min_words`` words or more and occurs at an earlier place too (by doc_id,
+then place, in other documents or the same) is deleted; so are all parts of it.
 
-Every fingerprint's occurrences are joined to its first occurrence (by doc_id, then
-place) and to no other, so a hash that a third of the documents hold costs one row
-for each occurrence. The match is extended both ways while the lines agree, up to
-``window - 1`` lines, within which the next fingerprint of the run lies. Matched
-stretches of at least ``min_words`` words are deleted at all occurrences but the first.
-DataFrame functions only.
+Every such run is the union of its least stretches of ``min_words`` words: of each of its
+lines the shortest stretch that starts there, or the shortest that ends there, or one around
+it, lies in the run. So a document's fingerprints are the hashes of the shortest
+stretches from and up to each line, at most two a line and ``min_words`` lines long each.
+Whichever places a run has in common with others, each of its stretches occurs where the
+run does, and all of a fingerprint's occurrences but the first are deleted: nothing is
+extended or aligned, and lines of any length and runs with any neighbours are found whole.
+Occurrences meet their fingerprint's first place only, so a hash that a third of the
+documents hold costs one row for each occurrence. DataFrame functions only.
+
+Lines alike without white space can differ in words ("ab" and "a b"). They count with the
+most words that one of them has, so that a run is as long wherever it occurs.
 
 Defined results: NULL text is treated as empty and comes back NULL; empty lines are
 never deleted; a NULL doc_id sorts last; rows that repeat doc_id and text are one
@@ -24,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import WHITE_SPACE, bloom_table, id_or_lowest, join_groups, possibly_in, without_space
+from wellspring.llm.common import (WHITE_SPACE, bloom_table, id_or_lowest, join_groups, only_possible, possibly_in,
+                                   without_space)
 from wellspring.session import cut_lineage
 
 
@@ -36,74 +41,78 @@ def _word_count(line: Column) -> Column:
     return F.size(F.array_remove(F.split(F.translate(line, WHITE_SPACE, " " * len(WHITE_SPACE)), " "), ""))
 
 
-def fingerprints(docs: DataFrame, doc_id: str, text: str, min_words: int, gram: int, window: int) -> DataFrame:
-    """``(fp, uid, doc_id, pos, size, words, before, after)``: fingerprints with the hashes of the
-    ``window - 1`` lines on either side (nearest first) and the words of all these lines."""
-    side = window - 1
+def hashed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, uid, h, w)``: hashes and words of each document's non-empty lines, checkpointed."""
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: without_space(x) != "")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"),
                        F.transform(lines, lambda x: F.struct(F.xxhash64(without_space(x)).alias("h"),
                                                              _word_count(x).alias("w"))).alias("lines"))
+    rows = cut_lineage(rows.filter(F.size("lines") > 0))
+    each = rows.select("uid", F.posexplode("lines").alias("at", "line")).select("uid", "at", "line.*")
+    odd = each.groupBy("h").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count(F.lit(1)).alias("n"))
+    odd = cut_lineage(odd.filter("least < most").select("h", "most", "n"))
     rows = rows.select("doc_id", "uid", F.col("lines.h").alias("h"), F.col("lines.w").alias("w"))
-    rows = rows.withColumn("g", F.when(F.size("h") >= gram, F.transform(
-        F.sequence(F.lit(1), F.size("h") - gram + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(gram))))).otherwise(
-        F.array().cast("array<bigint>")))
-    # the least hash of each window, the rightmost of equals
-    least = lambda s: F.array_min(F.transform(F.slice(F.col("g"), s, F.lit(window)),
-                                              lambda x, j: F.struct(x.alias("x"), (-(s + j)).alias("p"))))
-    minima = F.when(F.size("g") > 0, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("g") - window + 1, F.lit(1))), least))).otherwise(
-        F.array().cast("array<struct<x:bigint,p:int>>"))
-    grams = F.transform(minima, lambda m: F.struct(m["x"].alias("fp"), (-m["p"]).alias("pos"), F.lit(gram).alias("size")))
-    single = F.filter(F.transform("h", lambda x, i: F.struct(
-        F.xxhash64(x, F.lit(1)).alias("fp"), (i + 1).cast("int").alias("pos"), F.lit(1).alias("size"))),
-        lambda s: F.element_at("w", s["pos"]) >= min_words)
-    rows = rows.withColumn("f", F.explode(F.concat(grams, single))).select("doc_id", "uid", "h", "w", "f.*")
-    lo = F.greatest(F.col("pos") - side, F.lit(1))
-    return rows.select(
-        "fp", "doc_id", "uid", "pos", "size",
-        F.reverse(F.slice("h", lo, F.col("pos") - lo)).alias("before"),
-        F.slice("h", F.col("pos") + F.col("size"), F.lit(side)).alias("after"),
-        F.slice("w", lo, F.col("pos") - lo + F.col("size") + side).alias("words"))
-
-
-def _agree(mine: str, first: str, side: int) -> Column:
-    """How many leading elements of two arrays are equal."""
-    out: Column = F.lit(0)
-    for i in range(side - 1, -1, -1):
-        out = F.when(F.get(F.col(mine), F.lit(i)) == F.get(F.col(first), F.lit(i)), 1 + out).otherwise(0)
-    return out
-
-
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20,
-                   gram: int = 2, window: int = 2) -> DataFrame:
+    if not odd.take(1):
+        return rows
+    n = each.count()
+    most = join_groups(each, odd, "h", "n", n, ["uid", "at"], how="inner").groupBy("uid").agg(
+        F.map_from_entries(F.collect_set(F.struct("at", "most"))).alias("m"))
+    most = cut_lineage(most.withColumnRenamed("uid", "_uid"))
+    rows = only_possible(rows, "uid", most.withColumnRenamed("_uid", "uid"), most.count())
+    met = rows.filter("_may").join(most, F.col("uid") == F.col("_uid"), "left")
+    met = met.withColumn("w", F.transform("w", lambda x, i: F.coalesce(F.element_at("m", i), x)))
+    cols = ["doc_id", "uid", "h", "w"]
+    return cut_lineage(met.select(*cols).union(rows.filter("not _may").select(*cols)))
+
+
+def _stretch(words: Column, min_words: int) -> Column:
+    """How many leading elements have ``min_words`` words together; NULL if all have fewer."""
+    # words above 2^20, lines below
+    enough = min_words << 20
+    acc = F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: F.when(acc >= enough, acc).otherwise(
+        acc + x.cast("long") * (1 << 20) + 1))
+    return F.when(acc >= enough, acc.bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+
+
+def fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
+    """``(fp, doc_id, uid, pos, size)``: the shortest stretches of ``min_words`` words from and up to each line."""
+    def pack(pos: Column, size: Column) -> Column:
+        return F.when(size.isNotNull(), pos.cast("long") * (1 << 20) + size)
+
+    lines = F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h")))
+    onward = F.transform(lines, lambda i: pack(i, _stretch(F.slice("w", i, F.lit(min_words)), min_words)))
+
+    def back(i: Column) -> Column:
+        low = F.greatest(i - min_words + 1, F.lit(1))
+        size = _stretch(F.reverse(F.slice("w", low, i - low + 1)), min_words)
+        return pack(i - size + 1, size)
+
+    both = F.array_compact(F.array_distinct(F.concat(onward, F.transform(lines, back))))
+    rows = rows.select("doc_id", "uid", "h", F.explode(both).alias("at"))
+    rows = rows.withColumn("pos", F.shiftright("at", 20).cast("int")).withColumn(
+        "size", F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).cast("int"))
+    return rows.select(F.xxhash64(F.slice("h", F.col("pos"), F.col("size"))).alias("fp"), "doc_id", "uid", "pos", "size")
+
+
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20) -> DataFrame:
     """``(uid, places)``: for each document with lines to delete, their places among its non-empty lines (from 1)."""
-    side = window - 1
-    rows = cut_lineage(fingerprints(docs, doc_id, text, min_words, gram, window))
+    rows = cut_lineage(fingerprints(hashed_lines(docs, doc_id, text), min_words))
     place = F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "uid", "pos")
-    twice = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(
-        F.struct(place.alias("place"), "before", "after")).alias("first")).filter("n > 1")
-    twice = cut_lineage(twice.select("fp", "n", "first.place", F.col("first.before").alias("b"),
-                                     F.col("first.after").alias("a")))
+    twice = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place")).filter("n > 1")
+    twice = cut_lineage(twice)
     met = join_groups(rows, twice, "fp", "n", rows.count(), ["uid", "pos"], how="inner")
     met = met.filter(~(F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "pos").eqNullSafe(F.col("place"))))
-    left, right = _agree("before", "b", side), _agree("after", "a", side)
-    met = met.select("uid", "pos", "size", "words", F.size("before").alias("head"), left.alias("l"), right.alias("r"))
-    count = F.aggregate(F.slice("words", F.col("head") - F.col("l") + 1, F.col("l") + F.col("size") + F.col("r")),
-                        F.lit(0), lambda acc, x: acc + x)
-    met = met.filter(count >= min_words)
-    at = met.select("uid", F.explode(F.sequence(F.col("pos") - F.col("l"), F.col("pos") + F.col("size") - 1 + F.col("r")))
-                    .alias("place"))
-    return at.groupBy("uid").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20,
-                gram: int = 2, window: int = 2) -> DataFrame:
+    runs = met.groupBy("uid").agg(F.collect_set(F.struct("pos", "size")).alias("runs"))
+    places = F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + r["size"] - 1)))
+    return runs.select("uid", F.sort_array(F.array_distinct(places)).alias("places"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 20) -> DataFrame:
     """``docs`` with later repeated runs of lines cut from ``text``, plus ``n_lines`` (all lines),
     ``deleted`` (their numbers from 1) and ``n_deleted``. Documents without such runs pass unshuffled."""
     docs = docs.drop("n_lines", "deleted", "n_deleted")
     cols = docs.columns
-    lost = cut_lineage(repeated_lines(docs, doc_id, text, min_words, gram, window))
+    lost = cut_lineage(repeated_lines(docs, doc_id, text, min_words))
     keyed = docs.withColumn("uid", _uid(doc_id, text)) if "uid" not in cols else docs.withColumn("_uid", _uid(doc_id, text))
     uid = "uid" if "uid" not in cols else "_uid"
     lost = lost.withColumnRenamed("uid", "_lost")
