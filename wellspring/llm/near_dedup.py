@@ -1,11 +1,12 @@
 """Near dedup with ProbMinHash: signatures, banding, verification, classes.
 
 Words are runs without white space; a text's elements are its distinct runs of
-``SHINGLE`` words (a shorter text is one element), weighted 2 - 1/count so that a repeated
-line weighs more, yet at most twice. Each element is a Poisson process with its weight as
-rate; arrivals fall on one of ``SIZE`` components, and a component keeps the element that
-arrives first. A process stops when it is later than all components' arrivals. Two texts
-agree on a component with their probability Jaccard similarity.
+``SHINGLE`` words (a shorter text is one element). All weigh the same, however often a
+text repeats them, as in the similarity that pairs are held to. Each element is a Poisson
+process of rate 1; arrivals fall on one of ``SIZE`` components, and a component keeps the
+element that arrives first. A process stops when it is later than all components' arrivals.
+Two texts agree on a component with their probability Jaccard similarity, which at equal
+weights is the Jaccard similarity of the sets.
 
 1. Each distinct text (64-bit hash of its words) gets a signature and ``BANDS`` band hashes,
    in Arrow blocks with numpy. Copies are grouped first and take part once.
@@ -54,8 +55,8 @@ BLOCK = 32
 _U = np.uint64
 
 
-def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their counts and their texts' numbers; word hashes and where each text's start."""
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles and their texts' numbers; word hashes and where each text's start."""
     hashed, offsets = ngrams.words(texts)
     shingle, own = ngrams.runs(hashed, offsets, SHINGLE)
     n = np.diff(offsets)
@@ -69,13 +70,12 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     new = np.ones(len(order), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(new)
-    return shingle[at], np.diff(np.append(at, len(order))), own[at], hashed, offsets
+    return shingle[at], own[at], hashed, offsets
 
 
-def signatures(shingle: np.ndarray, count: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+def signatures(shingle: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
     """Rows x SIZE: the element that arrives first at each component (0 for no elements)."""
     best, first = np.full(rows * SIZE, np.inf), np.zeros(rows * SIZE, _U)
-    weight = 2.0 - 1.0 / count
     now, live, done = np.zeros(len(shingle)), np.arange(len(shingle)), 0
     while len(live):
         # one arrival each at first, many at once when few processes are left
@@ -84,7 +84,7 @@ def signatures(shingle: np.ndarray, count: np.ndarray, own: np.ndarray, rows: in
             seed = (np.arange(done + 1, done + steps + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :]
             x = ngrams.mix(shingle[live][:, None] + seed)
             slot = ((ngrams.mix(x + _U(1)) >> _U(32)) * _U(SIZE) >> _U(32)).astype(np.int64)
-        gap = -np.log(((x >> _U(11)).astype(float) + 0.5) * 2.0 ** -53) / weight[live][:, None]
+        gap = -np.log(((x >> _U(11)).astype(float) + 0.5) * 2.0 ** -53)
         when = now[live][:, None] + np.cumsum(gap, axis=1)
         now[live] = when[:, -1]
         slot += own[live][:, None] * SIZE
@@ -102,8 +102,8 @@ def signatures(shingle: np.ndarray, count: np.ndarray, own: np.ndarray, rows: in
 
 def describe(texts: list[str]) -> dict[str, pa.Array]:
     """``key`` (hash of the words), ``n`` (distinct shingles), ``bands`` and ``sig`` (a byte a component)."""
-    shingle, count, own, hashed, offsets = elements(texts)
-    sig = signatures(shingle, count, own, len(texts))
+    shingle, own, hashed, offsets = elements(texts)
+    sig = signatures(shingle, own, len(texts))
     value = np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(texts), 1))
     for j in range(ROWS):
         with np.errstate(over="ignore"):
@@ -133,7 +133,7 @@ def _similar(batches):
     for batch in batches:
         keep = []
         for i in range(batch.num_rows):
-            s, _, own, _, _ = elements([batch.column(2)[i].as_py() or "", batch.column(3)[i].as_py() or ""])
+            s, own, _, _ = elements([batch.column(2)[i].as_py() or "", batch.column(3)[i].as_py() or ""])
             x, y = s[own == 0], s[own == 1]
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= THRESHOLD * (len(x) + len(y) - both))
@@ -170,7 +170,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text
 
 
 def _shingle_bytes(texts: list[str]) -> dict[str, pa.Array]:
-    shingle, _, own, _, _ = elements(texts)
+    shingle, own, _, _ = elements(texts)
     at = np.searchsorted(own, np.arange(len(texts) + 1))
     return {"sh": pa.array([shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())}
 
