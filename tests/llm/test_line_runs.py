@@ -62,3 +62,16 @@ def test_random_runs(spark):
     texts += ["\n".join(texts[k].split("\n")[1:]) for k in range(0, 40, 3)]
     want = truth(texts)
     assert sum(map(len, want)) > 100 and deleted(spark, texts) == want
+
+
+def test_a_lead_line_pair_that_an_earlier_document_continues_otherwise(spark):
+    a, b, x = "lead of three", "then four words more", "another line of the first"
+    texts = []
+    for k in range(30):
+        c = " ".join(f"c{k}w{j}" for j in range(18))
+        lead = [f"{a} {k}", f"{b} {k}"]
+        texts += [[*lead, x], [*lead, c], ["own line", *lead, c]]
+    texts = ["\n".join(t) for t in texts]
+    want = truth(texts)
+    assert want[2::3] == [[2, 3, 4]] * 30 and not any(want[::3]) and not any(want[1::3])
+    assert deleted(spark, texts) == want

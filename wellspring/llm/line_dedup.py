@@ -47,7 +47,8 @@ def hashed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _uid(doc_id, text).alias("uid"),
                        F.transform(lines, lambda x: F.struct(F.xxhash64(without_space(x)).alias("h"),
                                                              _word_count(x).alias("w"))).alias("lines"))
-    rows = cut_lineage(rows.filter(F.size("lines") > 0))
+    # filtered when checkpointed: before, the lines would be hashed twice
+    rows = cut_lineage(rows).filter(F.size("lines") > 0)
     each = rows.select("uid", F.posexplode("lines").alias("at", "line")).select("uid", "at", "line.*")
     odd = each.groupBy("h").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count(F.lit(1)).alias("n"))
     odd = cut_lineage(odd.filter("least < most").select("h", "most", "n"))
