@@ -43,3 +43,12 @@ def test_repeated_lines_lose_no_near_copy(spark):
     assert sum(i != c for i, c in truth.items()) >= 50
     out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in out} == truth
+
+
+def test_verified_pairs_are_named_so(spark):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(base[:j] + [f"new{k}"] + base[j + 1:])) for k, j in enumerate(range(0, 200, 9))]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "n_links" not in out.columns
+    got = out.collect()
+    assert len({r.class_id for r in got}) == 1 and all(1 <= r.n_verified < len(rows) for r in got)

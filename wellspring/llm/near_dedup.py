@@ -222,7 +222,8 @@ def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: Da
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (its class's smallest doc_id), class_size (documents),
-    n_links (verified links of its text) and kept (one document of each class)."""
+    n_verified (pairs of its text that were compared and found similar; members of one class that no
+    comparison needed are not among them) and kept (one document of each class)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(doc_id, text)
@@ -257,22 +258,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         comps = cut_lineage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_links"))
+        F.count(F.lit(1)).alias("n_verified"))
     texts = nodes.select("key", "rep", "no_id", "copies").join(
         comps.select(F.col("node").alias("key"), "comp"), "key", "left").join(ends, "key", "left")
     texts = cut_lineage(texts.select("key", "rep", "no_id", "copies", F.coalesce("comp", "key").alias("comp"),
-                                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+                                     F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified")))
     whole = texts.groupBy("comp").agg(F.min(F.struct("no_id", "rep", "key")).alias("head"),
                                       F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
     texts = join_groups(texts, cut_lineage(whole), "comp", "class_size", max(1, rows.count()), ["key"])
-    texts = cut_lineage(texts.select("key", "copies", "n_links", "class_size", "head"))
+    texts = cut_lineage(texts.select("key", "copies", "n_verified", "class_size", "head"))
     # rows that repeat id and text are alike: their number is enough
     same = rows.groupBy("key", "id", "no_id").agg(F.count(F.lit(1)).alias("times"))
     out = join_groups(same, texts, "key", "copies", max(1, rows.count()), ["id"])
     out = out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     real = lambda i, none: F.when(~none, i)
     return out.select(real(F.col("id"), F.col("no_id")).alias("doc_id"),
-                      real(F.col("head.rep"), F.col("head.no_id")).alias("class_id"), "class_size", "n_links",
+                      real(F.col("head.rep"), F.col("head.no_id")).alias("class_id"), "class_size", "n_verified",
                       ((F.col("id") == F.col("head.rep")) & (F.col("no_id") == F.col("head.no_id"))
                        & (F.col("key") == F.col("head.key")) & (F.col("time") == 1)).alias("kept"), F.col("key").alias("text_key"))
 
