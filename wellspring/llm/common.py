@@ -136,6 +136,31 @@ def only_possible(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame
     return out.drop("_h")
 
 
+# ----------------------------------------------------------------- positions in an order
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: each row's position (from 0) in the ascending order of ``order`` (NULLs first).
+
+    One range shuffle sorts the rows; a position is the row's place in its partition plus the rows
+    of the partitions before it, which are as many numbers as there are partitions. Rows that are
+    equal in ``order`` come in any order, and a hash of where they were read deals them to
+    several partitions. The sorted rows are checkpointed, so that positions stay what they were.
+    """
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    ordered = df.withColumn("_spread", spread).repartitionByRange(*order, "_spread").sortWithinPartitions(*order, "_spread")
+    placed = cut_lineage(ordered.drop("_spread").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before, offsets = 0, []
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets.append((row["part"], before))
+        before += row["count"]
+    table = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    out = placed.withColumn("_part", part).join(F.broadcast(table), "_part")
+    at = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, at).drop("_part", "_before", "_at")
+
+
 # ----------------------------------------------------------------- Python blocks
 
 

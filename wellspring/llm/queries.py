@@ -7,12 +7,13 @@ the entry module adds to the library's own queries.
 from __future__ import annotations
 
 import os
+import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import (exact_dedup, language_id, line_dedup, mixing, near_dedup, quality_classifier, quality_rules,
-                            sentencepiece_codec, toxicity, url_filter)
+from wellspring.llm import (exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, quality_classifier,
+                            quality_rules, sentencepiece_codec, toxicity, url_filter)
 from wellspring.llm.common import held_out
 from wellspring.sources.tables import read_table
 
@@ -101,9 +102,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
 
+def id_hash(doc_id: Column) -> Column:
+    """crc32 of the id as text; a NULL id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(id_hash(F.col("doc_id")) % 3 == 0, merkle.row_digest([*merkle.FIELDS[:-1], lowered]))
+    proofs = merkle.manifest(documents(spark, sf_dir), carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("steps"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                         folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_url_filter, op4_line_dedup, op5_toxicity, op6_quality_rules, op7_minhash,
-    op8_language_id, op9_quality_classifier, op10_mixing)}
+    op8_language_id, op9_quality_classifier, op10_mixing, op12_merkle)}
 
 # DuckDB twins. The mixture's twin has one Poisson part: no source's rate is over 8 in the given tables.
 ORACLES: dict[str, str] = {
@@ -123,4 +138,34 @@ k AS (SELECT * EXCLUDE (rate, u), len(list_filter(range(0, 40), lambda j: list_s
 e AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM k)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS INTEGER) AS copy_no, CAST(n_copies AS INTEGER) AS n_copies,
   md5('shuffle-17:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no) AS shuffle_key FROM e""",
+    "op12_merkle": r"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS grp, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS width, CAST(doc_id AS VARCHAR) AS id,
+    list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text],
+      lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) AS f FROM documents),
+l AS (SELECT * EXCLUDE (f), sha256(array_to_string(f, '')) AS leaf,
+    xor(list_reduce([4294967295] || flatten(list_transform(string_split(id, ''), lambda ch: [ascii(ch), 0, 0, 0, 0, 0, 0, 0])),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 3 = 0 AS tamper,
+    sha256(array_to_string(f[1:4], '') || translate(f[5], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lowered FROM d),
+nodes AS (SELECT grp, 0 AS lvl, idx, width, leaf AS digest FROM l
+  UNION ALL SELECT grp, lvl + 1, idx // 8, (width + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE width > 1
+  GROUP BY grp, lvl, idx // 8, width),
+subs AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS width FROM nodes WHERE width = 1),
+tops AS (SELECT 0 AS lvl, idx, width, subroot AS digest FROM subs
+  UNION ALL SELECT lvl + 1, idx // 8, (width + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE width > 1
+  GROUP BY lvl, idx // 8, width),
+every AS (SELECT grp, lvl, idx, width, digest FROM nodes UNION ALL SELECT NULL, lvl, idx, width, digest FROM tops),
+sibs AS (SELECT *, coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM every WHERE width > 1 WINDOW w AS (PARTITION BY grp, lvl, idx // 8 ORDER BY idx)),
+walk AS (SELECT doc_id, grp, 0 AS lvl, idx, '' AS proof, CASE WHEN tamper THEN lowered ELSE leaf END AS x FROM l
+  UNION ALL SELECT w.doc_id, w.grp, w.lvl + 1, w.idx // 8, w.proof || s.before || s.after, sha256(s.before || w.x || s.after)
+  FROM walk w JOIN sibs s ON s.grp = w.grp AND s.lvl = w.lvl AND s.idx = w.idx),
+walked AS (SELECT doc_id, grp, arg_max(proof, lvl) AS proof, arg_max(x, lvl) AS x FROM walk GROUP BY doc_id, grp),
+climb AS (SELECT w.doc_id, 0 AS lvl, s.idx, w.proof, w.x FROM walked w JOIN subs s USING (grp)
+  UNION ALL SELECT c.doc_id, c.lvl + 1, c.idx // 8, c.proof || s.before || s.after, sha256(s.before || c.x || s.after)
+  FROM climb c JOIN sibs s ON s.grp IS NULL AND s.lvl = c.lvl AND s.idx = c.idx),
+climbed AS (SELECT doc_id, arg_max(proof, lvl) AS proof, arg_max(x, lvl) AS x FROM climb GROUP BY doc_id)
+SELECT l.doc_id, l.leaf, s.subroot, t.digest AS root, sha256(c.proof) AS proof_sha256, c.x AS folded_root, c.x = t.digest AS verified
+FROM l JOIN subs s USING (grp) JOIN climbed c USING (doc_id) JOIN tops t ON t.width = 1""",
 }
