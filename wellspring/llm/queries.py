@@ -12,8 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import (exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, quality_classifier,
-                            quality_rules, sentencepiece_codec, toxicity, url_filter)
+from wellspring.llm import (exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, periodic_runs,
+                            quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_filter)
 from wellspring.llm.common import held_out
 from wellspring.sources.tables import read_table
 
@@ -107,6 +107,33 @@ def id_hash(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; where 10 divides the id's hash, words from the a-th on repeat with a period."""
+    h = id_hash(F.col("doc_id"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    out = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n, a, p = F.size("words"), F.col("a"), F.col("p")
+    out = out.withColumn("a", F.when(n > 0, F.col("g") % n))
+    out = out.withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+    cycled = F.transform(F.sequence(F.lit(0), n - 1),
+                         lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+    return out.select("doc_id", F.when(n > 0, F.array_join(cycled, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted(documents(spark, sf_dir)))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.transform(lines, lambda line: F.concat(line, F.lit("\n")))
+    found = found.withColumn("r", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("r.start").alias("start"),
+        (-F.col("r.less")).alias("length"), F.col("r.period").alias("period"),
+        F.floor(-1000 * F.col("r.less") / F.col("r.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     tampered = F.when(id_hash(F.col("doc_id")) % 3 == 0, merkle.row_digest([*merkle.FIELDS[:-1], lowered]))
@@ -118,7 +145,8 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_url_filter, op4_line_dedup, op5_toxicity, op6_quality_rules, op7_minhash,
-    op8_language_id, op9_quality_classifier, op10_mixing, op12_merkle)}
+    op8_language_id, op9_quality_classifier, op10_mixing, op11_periodic_runs,
+    op12_merkle)}
 
 # DuckDB twins. The mixture's twin has one Poisson part: no source's rate is over 8 in the given tables.
 ORACLES: dict[str, str] = {
