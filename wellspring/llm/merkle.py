@@ -10,8 +10,8 @@ step. A self-join replaces each node's pointer by the pointer of the node it poi
 appends that node's steps, so pointers reach twice as far in every round, until all reach the
 root; leaves then take the steps of the node above them. Rounds are the logarithm of the depth.
 No node has more than ``FAN`` children, so nothing is collected beyond that; groups of any size
-are numbered by one range sort, and many nodes pointing to one ancestor meet it by broadcast
-(``join_groups``).
+are numbered by one range sort, and an ancestor that many nodes point to meets them by broadcast
+(``_meet``).
 
 Defined results: NULL fields count as ``-``; a NULL order value or group comes first; rows with
 the same group and order value follow their digests, and rows that are equal in all are leaves of
@@ -25,7 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import join_groups, numbered
+from wellspring.llm.common import numbered
 from wellspring.session import cut_lineage
 
 #: Children of a node.
@@ -86,6 +86,15 @@ def _grow(nodes: DataFrame, width: int, level: int) -> tuple[list[DataFrame], Da
     return links, roots
 
 
+def _meet(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with the one row of ``groups`` by ``key``. Groups of more than ``n / share`` of the ``n``
+    rows, fewer than ``share``, are broadcast, and their rows stay out of the shuffled join."""
+    is_hot = F.col(size) * share > n
+    hot = groups.filter(is_hot)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).union(rest.join(groups.filter(~is_hot), key))
+
+
 def paths_to_root(links: DataFrame, root: str, depth: int) -> DataFrame:
     """``(key, steps)`` from every node to ``root`` by pointer jumping over ``links(key, anc, steps)``."""
     state = cut_lineage(links)
@@ -96,7 +105,7 @@ def paths_to_root(links: DataFrame, root: str, depth: int) -> DataFrame:
         sizes = open_.groupBy("anc").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("anc", "key")
         far = state.join(sizes, "key").select(F.col("key").alias("anc"), F.col("anc").alias("far"),
                                               F.col("steps").alias("more"), "size")
-        jumped = join_groups(open_, far, "anc", "size", n, ["key"], how="inner")
+        jumped = _meet(open_, cut_lineage(far), "anc", "size", n)
         state = cut_lineage(jumped.select("key", F.col("far").alias("anc"), F.concat("steps", "more").alias("steps"))
                             .union(state.filter(F.col("anc") == root)))
         reach *= 2
@@ -117,7 +126,7 @@ def manifest(df: DataFrame, order: str = "doc_id", group: str = "lang", fields:
     groups = cut_lineage(numbered(groups, ["_group"], "tree").select("_key", "tree", "_first", "width"))
     n, trees, width = groups.agg(F.sum("width"), F.count(F.lit(1)), F.max("width")).first()
 
-    rows = join_groups(rows.drop("_group"), groups, "_key", "width", n or 0, ["_pos"], how="inner")
+    rows = _meet(rows.drop("_group"), groups, "_key", "width", n or 0)
     rows = rows.withColumn("idx", F.col("_pos") - F.col("_first"))
     bottom = cut_lineage(_families(rows, F.col("_order"), F.col("_carry")))
     lone = F.col("width") == 1
@@ -130,9 +139,9 @@ def manifest(df: DataFrame, order: str = "doc_id", group: str = "lang", fields:
     top_links, roots = _grow(top, trees, 0)
     root = roots.first()
 
-    bottom = join_groups(bottom, groups.select("tree", F.col("width").alias("_size")).join(
-        subroots.select("tree", F.col("digest").alias("subroot")), "tree"), "tree", "_size", n or 0, ["idx"])
-    bottom = bottom.withColumn("key", _key(1)).drop("_size")
+    trunks = groups.select("tree", F.col("width").alias("_size")).join(
+        subroots.select("tree", F.col("digest").alias("subroot")), "tree")
+    bottom = _meet(bottom, trunks, "tree", "_size", n or 0).withColumn("key", _key(1)).drop("_size")
     links += top_links
     if links:
         every = links[0]
