@@ -12,8 +12,8 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import (exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, periodic_runs,
-                            quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_filter)
+from wellspring.llm import (exact_dedup, language_id, line_dedup, merkle, mixing, near_dedup, order_minhash,
+                            periodic_runs, quality_classifier, quality_rules, sentencepiece_codec, toxicity, url_filter)
 from wellspring.llm.common import held_out
 from wellspring.sources.tables import read_table
 
@@ -143,10 +143,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
                          folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order_minhash.neighbours(documents(spark, sf_dir))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                      "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_sentencepiece, op3_url_filter, op4_line_dedup, op5_toxicity, op6_quality_rules, op7_minhash,
     op8_language_id, op9_quality_classifier, op10_mixing, op11_periodic_runs,
-    op12_merkle)}
+    op12_merkle, op13_order_minhash)}
 
 # DuckDB twins. The mixture's twin has one Poisson part: no source's rate is over 8 in the given tables.
 ORACLES: dict[str, str] = {
