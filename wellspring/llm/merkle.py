@@ -86,6 +86,14 @@ def _grow(nodes: DataFrame, width: int, level: int) -> tuple[list[DataFrame], Da
     return links, roots
 
 
+def _gathered(parts: Sequence[DataFrame]) -> DataFrame:
+    """The union, in no more partitions than a shuffle has: without that, each union adds its inputs' partitions up."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return every.coalesce(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _meet(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with the one row of ``groups`` by ``key``. Groups of more than ``n / share`` of the ``n``
     rows, fewer than ``share``, are broadcast, and their rows stay out of the shuffled join."""
@@ -97,7 +105,7 @@ def _meet(rows: DataFrame, groups: DataFrame, key: str, size: str, n: int, share
 
 def paths_to_root(links: DataFrame, root: str, depth: int) -> DataFrame:
     """``(key, steps)`` from every node to ``root`` by pointer jumping over ``links(key, anc, steps)``."""
-    state = cut_lineage(links)
+    state = links
     reach = 1
     while reach < depth:
         n = state.count()
@@ -106,8 +114,8 @@ def paths_to_root(links: DataFrame, root: str, depth: int) -> DataFrame:
         far = state.join(sizes, "key").select(F.col("key").alias("anc"), F.col("anc").alias("far"),
                                               F.col("steps").alias("more"), "size")
         jumped = _meet(open_, cut_lineage(far), "anc", "size", n)
-        state = cut_lineage(jumped.select("key", F.col("far").alias("anc"), F.concat("steps", "more").alias("steps"))
-                            .union(state.filter(F.col("anc") == root)))
+        jumped = jumped.select("key", F.col("far").alias("anc"), F.concat("steps", "more").alias("steps"))
+        state = cut_lineage(_gathered([jumped, state.filter(F.col("anc") == root)]))
         reach *= 2
     return state.select("key", "steps")
 
@@ -144,10 +152,8 @@ def manifest(df: DataFrame, order: str = "doc_id", group: str = "lang", fields:
     bottom = _meet(bottom, trunks, "tree", "_size", n or 0).withColumn("key", _key(1)).drop("_size")
     links += top_links
     if links:
-        every = links[0]
-        for part in links[1:]:
-            every = every.union(part)
-        bottom = bottom.join(paths_to_root(every, root["key"], len(links)), "key", "left")
+        paths = paths_to_root(cut_lineage(_gathered(links)), root["key"], len(links))
+        bottom = bottom.join(paths, "key", "left")
     else:
         bottom = bottom.withColumn("steps", F.lit(None).cast(_STEP))
     out = bottom.select("subroot", "width", "kids", "steps", F.explode("kids").alias("kid"))
