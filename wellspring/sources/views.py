@@ -8,6 +8,8 @@ deterministic projection of a given table (same rules as FIXTURES.md §2):
 * ``checkins``  <- events         (latest event per worker and day)
 * ``debriefs``  <- conversations  (user turns as free text)
 * ``answers``   <- events         (scale answer maps, built in-row)
+* ``feedback``  <- events         (ratings of activities after a check-in)
+* ``debrief entries`` <- conversations (user turns with planted phrases)
 
 Every view is a narrow projection (no shuffle) except ``checkins``, which
 is one partial/final aggregation on (worker, day).
@@ -18,11 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vocab import CHECKIN_BURNOUT_THEMES, KEYWORD_THEMES
+from .dims import ACTIVITY_VARIANTS
 from .tables import read_table
 
 
 def corpus(spark: SparkSession, data_dir: str) -> DataFrame:
-    d = read_table(spark, data_dir, "documents")
+    return corpus_projection(read_table(spark, data_dir, "documents"))
+
+
+def corpus_projection(d: DataFrame) -> DataFrame:
+    """Posts, comments and reviews from document rows (narrow, works on streams too)."""
     k = F.col("doc_id") % 10
     days = ((F.col("doc_id") * 7) % 2300).cast("int")
     return d.select(
@@ -92,6 +100,33 @@ def checkins(spark: SparkSession, data_dir: str, with_answers: bool = True) -> D
     return checkin_projection(latest, with_answers)
 
 
+def feedback_projection(events: DataFrame) -> DataFrame:
+    """Feedback on activities, derived from event rows: two of three check-ins get one, 0 to 36 hours later."""
+    e, u = F.col("event_id"), F.col("user_id")
+    minutes = (e * 37 + u) % 2160
+    activities = F.array(*[F.lit(v[0]) for v in ACTIVITY_VARIANTS])
+    return events.filter(e % 3 != 2).select(
+        e.alias("checkin_id"), F.get(activities, (e % len(ACTIVITY_VARIANTS)).cast("int")).alias("activity_id"),
+        (F.col("ts") + F.make_dt_interval(mins=minutes.cast("int"))).alias("feedback_ts"),
+        ((e + u) % 4 != 0).alias("helpful"),
+        (e % 6).alias("energy_before"), ((e * 5 + u) % 6).alias("energy_after"),
+        ((e * 3) % 6).alias("tension_before"), (u % 6).alias("tension_after"),
+        ((e + u) % 6).alias("clarity_before"), ((e * 7 + 1) % 6).alias("clarity_after"))
+
+
+def debrief_entries(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Shift debriefs: the user turns, each followed by phrases of the debrief lists, which the
+    given texts lack; turn 0 of every eleventh conversation is blank."""
+    phrases = [p for words in CHECKIN_BURNOUT_THEMES.values() for p in words] + [
+        p for words in KEYWORD_THEMES.values() for p in words]
+    table = F.array(*[F.lit(p) for p in phrases])
+    k = F.col("conv_id") * 31 + F.col("turn") * 7
+    said = [F.get(table, (k * m % (3 * len(phrases))).cast("int")) for m in (1, 5, 11)]
+    blank = (F.col("turn") == 0) & (F.col("conv_id") % 11 == 0)
+    return debriefs(spark, data_dir).withColumn(
+        "text", F.when(blank, F.lit("  ")).otherwise(F.concat_ws(" ", "text", *said)))
+
+
 def answers_long(spark: SparkSession, data_dir: str) -> DataFrame:
     """Long form (checkin_id, item, scale_a, scale_b); ``explode`` of a fixed
     16-element sequence, no join."""
@@ -144,6 +179,12 @@ ORACLE_CTES = {
     CASE WHEN (event_id + i) % 17 = 0 THEN NULL ELSE 1 + (event_id * i) % 5 END AS scale_a,
     CASE WHEN (event_id + i) % 19 = 0 THEN NULL ELSE 1 + (event_id * i) % 4 END AS scale_b
   FROM events CROSS JOIN (SELECT unnest(range(1, 17)) AS i) t)""",
+    "feedback": f"""feedback AS (
+  SELECT event_id AS checkin_id, [{', '.join(f"'{v[0]}'" for v in ACTIVITY_VARIANTS)}][1 + event_id % {len(ACTIVITY_VARIANTS)}] AS activity_id,
+    ts + to_minutes(CAST((event_id * 37 + user_id) % 2160 AS BIGINT)) AS feedback_ts, (event_id + user_id) % 4 <> 0 AS helpful,
+    event_id % 6 AS energy_before, (event_id * 5 + user_id) % 6 AS energy_after, (event_id * 3) % 6 AS tension_before,
+    user_id % 6 AS tension_after, (event_id + user_id) % 6 AS clarity_before, (event_id * 7 + 1) % 6 AS clarity_after
+  FROM events WHERE event_id % 3 <> 2)""",
     "debriefs": """debriefs AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')""",
 }
 
