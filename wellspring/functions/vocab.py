@@ -114,6 +114,36 @@ POLARITY_NEGATIVE = -0.1
 COMPOUND_POSITIVE = 0.05
 COMPOUND_NEGATIVE = -0.05
 
+# --- fixed values: published VADER rules (Hutto & Gilbert, 2014) -------------
+# A booster changes the strength of a word up to three places later, a negation
+# turns it; the farther ones count less.
+BOOSTER_STEP = 0.293
+BOOSTER_FADE = [1.0, 0.95, 0.9]
+NEGATION_FACTOR = -0.74
+BOOSTERS_UP = [
+    "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly",
+    "deeply", "enormously", "entirely", "especially", "exceptionally", "extremely",
+    "fully", "greatly", "highly", "hugely", "incredibly", "intensely", "majorly",
+    "more", "most", "particularly", "purely", "quite", "really", "remarkably", "so",
+    "substantially", "thoroughly", "totally", "tremendously", "unbelievably",
+    "unusually", "utterly", "very",
+]
+BOOSTERS_DOWN = [
+    "almost", "barely", "hardly", "kinda", "less", "little", "marginally",
+    "occasionally", "partly", "scarcely", "slightly", "somewhat", "sorta",
+]
+NEGATIONS = [
+    "aint", "arent", "cannot", "cant", "couldnt", "despite", "didnt", "doesnt", "dont",
+    "hadnt", "hasnt", "havent", "isnt", "mightnt", "mustnt", "neither", "never", "none",
+    "nope", "nor", "not", "nothing", "nowhere", "rarely", "seldom", "shouldnt", "uhuh",
+    "wasnt", "werent", "without", "wont", "wouldnt",
+]
+
+# --- fixed values: debrief signal strengths ---------------------------------
+THEME_STRENGTH = 0.5
+STRENGTH_CAP = 1.0
+NEGATIVE_FACTOR = 1.3
+
 # --- fixed values: peak-season months by worker sector ---------------------
 PEAK_SEASON_MONTHS = {
     "warehouse": [10, 11, 12, 1],

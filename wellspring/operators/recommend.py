@@ -41,6 +41,15 @@ def subscale_map_literal() -> Column:
                           for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))])
 
 
+def categories_of(levels: Column) -> Column:
+    """JOI6 over a map of subscale -> normalised level (0-10), as debriefs give it: the distinct
+    categories of the high ones."""
+    m, none = subscale_map_literal(), F.array().cast("array<string>")
+    high = F.filter(F.map_entries(levels), lambda e: F.coalesce(e["value"] >= SUBSCALE_HIGH, F.lit(False)))
+    cats = F.flatten(F.transform(high, lambda e: F.coalesce(F.try_element_at(m, e["key"]), none)))
+    return F.array_distinct(F.coalesce(cats, none))
+
+
 def boosted_categories(scales: Column) -> Column:
     """CHK12/JOI6: categories mapped from subscales with normalised >= 6.0,
     over both scales (distinct)."""

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import (COMPOUND_NEGATIVE, COMPOUND_POSITIVE, KEYWORD_THEMES,
-                               POLARITY_NEGATIVE, POLARITY_POSITIVE)
+from ..functions.vocab import (BOOSTER_FADE, BOOSTER_STEP, BOOSTERS_DOWN, BOOSTERS_UP, COMPOUND_NEGATIVE,
+                               COMPOUND_POSITIVE, KEYWORD_THEMES, NEGATION_FACTOR, NEGATIONS, POLARITY_NEGATIVE,
+                               POLARITY_POSITIVE)
 from .normalize import is_warehouse
 
 Op = Callable[[DataFrame], DataFrame]
@@ -91,6 +92,43 @@ def valence_compound(lexicon: DataFrame, text_col: str = "text", id_col: str = "
     return op
 
 
+def contextual_compound(lexicon: DataFrame, text_col: str = "text", id_col: str = "id",
+                        boosters: Mapping[str, float] | None = None, negations: Sequence[str] = NEGATIONS) -> Op:
+    """SEN2 in context: adds ``compound``, where each scored word is seen with the three words before it.
+
+    A booster among them strengthens (or weakens) the word's valence by its step, faded by distance;
+    each negation turns and damps it by the published factor. The words before come from the token
+    array itself, so a word's context is known before the join: tokens are counted per row, word and
+    context, and one row of each meets the lexicon. Apostrophes are left out ("don't" is "dont").
+    Boosters and negations themselves are scored only if the lexicon lists them.
+    """
+    steps = dict(boosters) if boosters is not None else {**{w: BOOSTER_STEP for w in BOOSTERS_UP},
+                                                         **{w: -BOOSTER_STEP for w in BOOSTERS_DOWN}}
+
+    def op(df: DataFrame) -> DataFrame:
+        text = F.translate(F.coalesce(T._c(text_col), F.lit("")), "'\u2019", "")
+        words = df.select(F.col(id_col).alias("_id"), word_tokens(text).alias("_words"))
+        words = words.select("_id", "_words", F.posexplode("_words").alias("_at", "_tok"))
+        before = [F.get("_words", F.col("_at") - k) for k in (1, 2, 3)]  # NULL before the first word
+        step, turns = F.lit(0.0), F.lit(0)
+        for word, fade in zip(before, BOOSTER_FADE):
+            size = F.lit(0.0)
+            for value in sorted(set(steps.values())):
+                size = F.when(word.isin([w for w, v in steps.items() if v == value]), F.lit(float(value))).otherwise(size)
+            step = step + size * fade
+            turns = turns + F.when(word.isin(list(negations)), 1).otherwise(0)
+        seen = words.select("_id", "_tok", step.alias("_step"), turns.alias("_turns"))
+        seen = seen.groupBy("_id", "_tok", "_step", "_turns").agg(F.count(F.lit(1)).alias("_n"))
+        hits = seen.join(_lexicon(lexicon, ["valence"]), "_tok")
+        felt = (F.col("valence") + F.signum("valence") * F.col("_step")) * F.pow(F.lit(NEGATION_FACTOR), F.col("_turns"))
+        # summed as decimals, so that the order of rows can't move a sum over a label's threshold
+        sums = hits.groupBy("_id").agg(F.sum(felt.cast("decimal(18,12)") * F.col("_n")).cast("double").alias("_s"))
+        out = df.drop("compound").join(sums, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        s = F.coalesce(F.col("_s"), F.lit(0.0))
+        return out.withColumn("compound", s / F.sqrt(s * s + F.lit(VADER_ALPHA))).drop("_s")
+    return op
+
+
 def add_sentiment(mode: str = "none", lexicon: DataFrame | None = None,
                   text_col: str = "text", id_col: str = "id") -> Op:
     """SEN1: three fixed output columns; the strategy is chosen at plan time.
@@ -98,6 +136,7 @@ def add_sentiment(mode: str = "none", lexicon: DataFrame | None = None,
     * ``none``     -> NULL, NULL, 'none'
     * ``textblob`` -> mean polarity of a (word, polarity, subjectivity) lexicon
     * ``vader``    -> compound of a (word, valence) lexicon
+    * ``context``  -> the same with boosters and negations before each word
     Without a lexicon the scores fall back to ``none``.
     """
     def op(df: DataFrame) -> DataFrame:
@@ -105,11 +144,12 @@ def add_sentiment(mode: str = "none", lexicon: DataFrame | None = None,
             return (df.withColumn("sentiment_score", F.lit(None).cast("double"))
                       .withColumn("sentiment_label", F.lit(None).cast("string"))
                       .withColumn("sentiment_source", F.lit("none")))
-        if mode == "vader":
-            return (df.transform(valence_compound(lexicon, text_col, id_col))
+        if mode in ("vader", "context"):
+            score = valence_compound if mode == "vader" else contextual_compound
+            return (df.transform(score(lexicon, text_col, id_col))
                       .withColumnRenamed("compound", "sentiment_score")
                       .withColumn("sentiment_label", compound_label(F.col("sentiment_score")))
-                      .withColumn("sentiment_source", F.lit("vader")))
+                      .withColumn("sentiment_source", F.lit(mode)))
         if mode == "textblob":
             out = df.transform(lexicon_features(lexicon, text_col, id_col))
             return (out.withColumn("sentiment_score", F.col("polarity"))

@@ -14,6 +14,7 @@ _MODULES = [
     "wellspring.plans.registered_checkin",
     "wellspring.plans.registered_topics",
     "wellspring.plans.registered_stream",
+    "wellspring.plans.registered_debrief",
     "wellspring.plans.registered_ml",
 ]
 
