@@ -7,6 +7,8 @@ the two engines can be compared value by value.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,12 @@ from ..operators.reports import top_values, value_counts
 from ..operators.sampling import cap_per_group, stratified_sample
 from ..operators.sentiment import (compound_label, label_table, lexicon_features, polarity_label, themes_detected,
                                    valence_compound, word_tokens)
+from ..session import scratch_path
 from ..sources import views as V
+from ..sources.specs import forum_specs, load_sources
 from ..sources.tables import read_table
 from . import sqltext as S
-from .corpus import CorpusOptions, build_corpus, corpus_coverage
+from .corpus import CorpusOptions, build_corpus, corpus_coverage, write_corpus
 
 # Fixture dictionaries (FIXTURES.md §2): the invented prose of the test
 # tables contains none of the real theme words, so queries over the test
@@ -103,6 +107,26 @@ def corpus_union_sql(opt: CorpusOptions) -> str:
     ])
 
 
+def stage_counts_sql(opt: CorpusOptions) -> str:
+    """Rows of each stage of the corpus job, from the CTEs of ``corpus_union_sql``."""
+    url = f"https?://[^{S.WS[1:-1]}]+"
+    quality = f"""NOT coalesce(lower({S.strip('text')}) IN {S.in_list(['[deleted]', '[removed]', '[deleted by user]', 'nan', ''])}, false)
+    AND NOT coalesce(regexp_matches(text, '{url}') AND {S.is_blank(f"regexp_replace(text, '{url}', '', 'g')")}, false)
+    AND length({S.strip(f"regexp_replace(text, '{url}', '', 'g')")}) >= {opt.min_text_length}"""
+    channel = f"lower({S.strip("regexp_replace(channel, '^[rR]/', '')")}) IN {S.in_list(opt.allowlist)}"
+    rows = []
+    for part, name in (("post", "posts"), ("comment", "comments")):
+        rows += [(part, "read", f"corpus WHERE source = 'forum' AND type = '{part}'"),
+                 (part, "channels", f"corpus WHERE source = 'forum' AND type = '{part}' AND {channel}"),
+                 (part, "quality", f"corpus WHERE source = 'forum' AND type = '{part}' AND {channel} AND {quality}"),
+                 (part, "score", f"{name}_a"), (part, "dedup", f"{name}_b"), (part, "dates", f"{name}_c")]
+    rows += [("review", "read", "corpus WHERE source = 'reviews'"), ("review", "quality", "reviews_b"),
+             ("review", "dedup", "reviews_c"), ("review", "dates", "reviews")]
+    rows += [(s, "written", f"canon WHERE source = '{s}' HAVING count(*) > 0") for s in ("forum", "reviews")]
+    return f"WITH {corpus_union_sql(opt)}\n" + " UNION ALL ".join(
+        f"SELECT {S.q(p)} AS part, {S.q(st)} AS stage, count(*) AS rows FROM {rest}" for p, st, rest in rows)
+
+
 def oracle_coverage_report() -> str:
     opt = corpus_options()
     return f"""WITH {corpus_union_sql(opt)}
@@ -392,3 +416,65 @@ def oracle_sentiment_polarity() -> str:
 s2 AS (SELECT c.id, coalesce(p / 10.0 / n, 0) AS p, coalesce(s / 10.0 / n, 0) AS s FROM corpus c LEFT JOIN sums USING (id))
 SELECT id, round(p, 6) AS polarity, round(s, 6) AS subjectivity, CASE WHEN round(p, 9) > 0.1 THEN 'positive'
   WHEN round(p, 9) < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM s2"""
+
+
+# ------------------------------------------------ stage counts (AGG8, SNK2)
+def q_stage_counts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """AGG8: the corpus job writes its Parquet by source and tells the rows of every stage."""
+    path = scratch_path(spark, f"corpus-{uuid.uuid4().hex[:8]}")
+    rows = write_corpus(V.corpus(spark, data_dir), corpus_options(), path)
+    written = spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
+    written = written.select(F.col("source").alias("part"), F.lit("written").alias("stage"), "rows")
+    return spark.createDataFrame(rows, "part string, stage string, rows long").union(written)
+
+
+def oracle_stage_counts() -> str:
+    return stage_counts_sql(corpus_options())
+
+
+# ------------------------------------------ source specs (SRC3, SRC4, SRC8)
+def write_forum_exports(spark: SparkSession, data_dir: str, base: str) -> None:
+    """The documents as the five known forum exports: CSV, line JSON and Parquet, each with its own columns."""
+    d = read_table(spark, data_dir, "documents")
+    common = {"id": F.concat(F.lit("x"), "doc_id"), "author": F.col("lang"), "score": (F.col("n_chars") % 50).cast("string"),
+              "created_utc": (F.lit(1577836800) + F.col("n_chars") * 3600).cast("string")}
+    channel = F.concat(F.lit("r/"), F.upper("source"))
+    post = {"title": F.concat(F.lit("Title "), "doc_id"), "selftext": F.col("text"), "url": F.concat(F.lit("u/"), "doc_id")}
+    exports = {
+        "forum_posts_a": ("csv", {**common, **post, "subreddit.name": channel}),
+        "forum_comments_a": ("json", {**common, "body": F.col("text"), "subreddit": channel, "link_id": F.concat(F.lit("t3_"), "doc_id")}),
+        "forum_posts_b": ("parquet", {**common, **post, "subreddit": channel}),
+        "forum_comments_b": ("csv", {**common, "body": F.col("text"), "subreddit": channel}),
+        "forum_user_posts_b": ("json", {**common, **post, "subreddit": channel}),
+    }
+    for k, (name, (kind, columns)) in enumerate(exports.items()):
+        out = d.filter(F.col("doc_id") % 5 == k).select(*[c.alias(n) for n, c in columns.items()])
+        w = out.write.mode("overwrite")
+        if kind == "csv":
+            w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+                "ignoreTrailingWhiteSpace", False).csv(f"{base}/{name}")
+        elif kind == "json":
+            w.option("compression", "none").json(f"{base}/{name}")
+        else:
+            w.parquet(f"{base}/{name}")
+
+
+def q_forum_exports(spark: SparkSession, data_dir: str) -> DataFrame:
+    """SRC3, SRC4, SRC8: five exports of differing kinds and columns, found, read and united."""
+    base = scratch_path(spark, f"exports-{uuid.uuid4().hex[:8]}")
+    write_forum_exports(spark, data_dir, base)
+    out, _counts = load_sources(spark, forum_specs(base))
+    return out.select("id", "type", "channel", "title", F.md5("text").alias("text_md5"), "author",
+                      _ts("created_utc").alias("created_utc"), "score", "url",
+                      F.element_at(F.split("source_file", "/"), -1).alias("export"))
+
+
+def oracle_forum_exports() -> str:
+    names = "['forum_posts_a', 'forum_comments_a', 'forum_posts_b', 'forum_comments_b', 'forum_user_posts_b']"
+    return f"""SELECT 'x' || doc_id AS id, CASE WHEN doc_id % 5 IN (1, 3) THEN 'comment' ELSE 'post' END AS type,
+  lower({S.strip("source")}) AS channel, CASE WHEN doc_id % 5 IN (1, 3) THEN '' ELSE 'Title ' || doc_id END AS title,
+  md5(coalesce(text, '')) AS text_md5, coalesce(lang, '') AS author,
+  {S.fmt_ts("to_timestamp(1577836800 + n_chars * 3600)")} AS created_utc, n_chars % 50 AS score,
+  CASE doc_id % 5 WHEN 3 THEN '' WHEN 1 THEN 't3_' || doc_id ELSE 'u/' || doc_id END AS url,
+  {names}[1 + doc_id % 5] AS export
+FROM documents"""

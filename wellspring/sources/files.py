@@ -24,11 +24,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv_skip_bad(spark: SparkSession, path: str, columns: list[str] | None = None,
+def read_csv_skip_bad(spark: SparkSession, path: str | list[str], columns: list[str] | None = None,
                       encoding: str = "UTF-8") -> DataFrame:
     """SRC2/SRC5: header CSV, quoted multi-line fields, ``""`` escapes.
 
-    With known ``columns`` one extra overflow column is declared: lines with
+    ``path`` may be several files with one header. With known ``columns`` one extra overflow column is declared: lines with
     more fields than the header fill it and are dropped; short lines are
     padded with NULL (the pandas ``on_bad_lines='skip'`` behaviour).
     """
@@ -36,7 +36,7 @@ def read_csv_skip_bad(spark: SparkSession, path: str, columns: list[str] | None
                    .option("escape", '"').option("encoding", encoding).option("mode", "PERMISSIVE"))
     if columns is None:  # the header names the columns
         columns = spark.read.option("header", True).option("quote", '"').option("escape", '"').option(
-            "encoding", encoding).csv(path).columns
+            "encoding", encoding).csv(path if isinstance(path, str) else path[0]).columns
     schema = StructType([StructField(c, StringType()) for c in columns] + [StructField(_BAD, StringType())])
     df = reader.schema(schema).csv(path)
     return df.filter(F.col(_BAD).isNull()).drop(_BAD)
