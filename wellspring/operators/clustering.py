@@ -8,15 +8,17 @@ silhouette of ``topics.silhouette`` on the whole input (no pair sampling).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .topics import silhouette
 
 K_VALUES = (10, 15, 20, 30)
@@ -97,3 +99,50 @@ def predict(df: DataFrame, models: dict, features: str = "features") -> DataFram
                .withColumn("class_probabilities", F.map_from_entries(F.transform(
                    "_r", lambda x: F.struct(x["label"], F.round(x["p"], 4)))))
                .drop("_r", *[f"_q_{c}" for c in classes]))
+
+
+@dataclass
+class TextClassifier:
+    """ML11-ML13 and SNK7: the fitted trees with their label index and feature names.
+
+    ``labels`` are in index order, ``meta_cols`` in the order of the feature vector after the embedding.
+    A row without one of the metadata columns (or with NULL in it) has 0 there.
+    """
+
+    models: dict
+    labels: list[str]
+    meta_cols: list[str]
+    emb_col: str = "embedding"
+
+    @classmethod
+    def fit(cls, df: DataFrame, label_col: str, meta_cols: Sequence[str], emb_col: str = "embedding",
+            **tree_options) -> "TextClassifier":
+        """One checkpoint of the features feeds the fits of all classes; rows without a label are left out."""
+        feats = cls._features(df.filter(F.col(label_col).isNotNull()), meta_cols, emb_col)
+        feats = cut_lineage(feats.select(label_col, "_features"))
+        labels = sorted(r[0] for r in feats.select(label_col).distinct().collect())
+        return cls(train_one_vs_rest(feats, label_col, labels, "_features", **tree_options), labels, list(meta_cols), emb_col)
+
+    @staticmethod
+    def _features(df: DataFrame, meta_cols: Sequence[str], emb_col: str) -> DataFrame:
+        known = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in meta_cols}
+        return assemble_features(df.withColumns({f"_m_{c}": v for c, v in known.items()}), emb_col,
+                                 [f"_m_{c}" for c in meta_cols], "_features").drop(*[f"_m_{c}" for c in meta_cols])
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds the columns of ``predict`` to ``df``."""
+        return predict(self._features(df, self.meta_cols, self.emb_col), self.models, "_features").drop("_features")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """Writes the models and one row that names labels and features below ``path`` (any store)."""
+        for i, label in enumerate(self.labels):
+            self.models[label].write().overwrite().save(f"{path}/model-{i}")
+        row = [(self.labels, self.meta_cols, self.emb_col)]
+        spark.createDataFrame(row, "labels array<string>, meta_cols array<string>, emb_col string").write.mode(
+            "overwrite").parquet(f"{path}/index")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> "TextClassifier":
+        row = spark.read.parquet(f"{path}/index").first()
+        models = {label: GBTClassificationModel.load(f"{path}/model-{i}") for i, label in enumerate(row["labels"])}
+        return cls(models, list(row["labels"]), list(row["meta_cols"]), row["emb_col"])
