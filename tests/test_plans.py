@@ -20,3 +20,12 @@ def test_no_cartesian_or_nested_loop_joins(spark):
                  "score_trend", "dedup_text", "channel_cap_sample"):
         plan = _plan(E.queries()[name](spark, DATA))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_scales_look_each_answer_up_once(spark):
+    from wellspring.plans import registry
+    for name in ("scale_scores", "recommendations", "top_recommendation"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        for key in [f"bat{i}," for i in range(1, 13)] + [f"olbi{i}," for i in range(1, 17)]:
+            assert plan.count(f"_responses, {key}") + plan.count(f"], {key}") <= 1, (name, key)
+        assert plan.count("element_at(") < 60

@@ -9,7 +9,7 @@ functions in item order.
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +51,6 @@ OLBI_REVERSE_ITEMS = ["olbi2", "olbi3", "olbi4", "olbi6", "olbi8", "olbi9", "olb
 OLBI_RANGE = (1, 4)
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def _col_or(df: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
@@ -186,59 +182,70 @@ def with_score() -> Op:
 
 
 # ------------------------------------------------------------------ scales
-def _mean_of(arr: Column) -> Column:
-    """Sequential sum / count, NULL for an empty array (like sum(v)/len(v))."""
-    s = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(arr) > 0, s / F.size(arr))
-
-
 def _normalize(mean: Column, lo: int, hi: int) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), ((mean - lo) / (hi - lo)) * 10.0))
 
 
-def _subscale(map_col: Column, items: Sequence[str], lo: int, hi: int, reverse: Sequence[str] = ()) -> Column:
-    """Mean of answered items (reverse-scored as ``lo + hi - v``), in item
-    order. Items are looked up by literal keys outside any lambda, so the
-    answer map is read once per item, not once per lambda call."""
-    looked = [(F.lit(hi + lo) - F.try_element_at(map_col, F.lit(k))) if k in reverse
-              else F.try_element_at(map_col, F.lit(k)) for k in items]
-    vals = F.filter(F.array(*[v.cast("double") for v in looked]), lambda v: v.isNotNull())
-    mean = _mean_of(vals)
-    return F.struct(mean.alias("raw_mean"), _normalize(mean, lo, hi).alias("normalized_0_10"),
-                    F.size(vals).alias("n_items"))
+def _mean_struct(mean: Column, n: Column, lo: int, hi: int) -> Column:
+    return F.struct(mean.alias("raw_mean"), _normalize(mean, lo, hi).alias("normalized_0_10"), n.alias("n_items"))
 
 
-def scale_score(map_col, subscales, rng: tuple, label: str, n_items: int, reverse=()) -> Column:
-    """CHK8/CHK9: per-subscale mean of answered items (reverse-scored items as
-    ``lo + hi - v``), normalised to 0-10; total = mean of subscale means."""
-    m = _c(map_col)
-    lo, hi = rng
-    subs = [(name, _subscale(m, items, lo, hi, reverse)) for name, items in subscales]
-    means = F.filter(F.array(*[s["raw_mean"] for _, s in subs]), lambda x: x.isNotNull())
-    total_mean = _mean_of(means)
-    total_n = sum((s["n_items"] for _, s in subs[1:]), subs[0][1]["n_items"])
-    st = F.struct(
-        F.lit(label).alias("scale"), F.lit(n_items).alias("item_count"),
-        F.map_from_arrays(F.array(*[F.lit(n) for n, _ in subs]), F.array(*[s for _, s in subs])).alias("subscales"),
-        F.struct(total_mean.alias("raw_mean"), _normalize(total_mean, lo, hi).alias("normalized_0_10"),
-                 total_n.alias("n_items")).alias("total"))
-    return F.when(m.isNotNull(), st)
+def _total(values: list[Column]) -> Column:
+    """Sum from left to right, NULLs left out."""
+    out = F.lit(0.0)
+    for v in values:
+        out = out + F.coalesce(v, F.lit(0.0))
+    return out
 
 
-def bat12_score(map_col="bat12_responses") -> Column:
-    return scale_score(map_col, BAT12_SUBSCALES, BAT12_RANGE, "BAT-12", 12)
+def _answered(values: list[Column]) -> Column:
+    return sum((v.isNotNull().cast("int") for v in values), F.lit(0))
 
 
-def olbi_score(map_col="olbi_responses") -> Column:
-    return scale_score(map_col, OLBI_SUBSCALES, OLBI_RANGE, "OLBI", 16, OLBI_REVERSE_ITEMS)
+def scale_score(map_col: str, out_col: str, subscales, rng: tuple, label: str, reverse=()) -> Op:
+    """CHK8/CHK9: adds ``out_col``, per-subscale means of answered items (reverse-scored items as
+    ``lo + hi - v``), normalised to 0-10, and their mean as the total; NULL without an answer map.
+
+    Each step is a projection of its own: first the items, each looked up once, then sums and
+    counts, then means, then the struct, so no step repeats the expressions of the one before.
+    """
+    lo, hi = rng
+
+    def op(df: DataFrame) -> DataFrame:
+        m, kept = F.col(map_col), df.columns
+
+        def item(key: str) -> Column:
+            v = F.try_element_at(m, F.lit(key)).cast("double")
+            return F.lit(float(hi + lo)) - v if key in reverse else v
+        keys = {name: [f"_{out_col}_{k}" for k in items] for name, items in subscales}
+        out = df.withColumns({c: item(k) for name, items in subscales for c, k in zip(keys[name], items)})
+        out = out.select(*kept, *[x for name, _ in subscales for x in (
+            _total([F.col(c) for c in keys[name]]).alias(f"_{out_col}_{name}_sum"),
+            _answered([F.col(c) for c in keys[name]]).alias(f"_{out_col}_{name}_n"))])
+        sums = {name: (F.col(f"_{out_col}_{name}_sum"), F.col(f"_{out_col}_{name}_n")) for name, _ in subscales}
+        out = out.withColumns({f"_{out_col}_{name}_mean": F.when(n > 0, total / n) for name, (total, n) in sums.items()})
+        means = [F.col(f"_{out_col}_{name}_mean") for name, _ in subscales]
+        out = out.withColumns({f"_{out_col}_sum": _total(means), f"_{out_col}_n": _answered(means)})
+        n_means = F.col(f"_{out_col}_n")
+        out = out.withColumn(f"_{out_col}_mean", F.when(n_means > 0, F.col(f"_{out_col}_sum") / n_means))
+        subs = F.map_from_arrays(
+            F.array(*[F.lit(name) for name, _ in subscales]),
+            F.array(*[_mean_struct(mean, sums[name][1], lo, hi) for mean, (name, _) in zip(means, subscales)]))
+        total = _mean_struct(F.col(f"_{out_col}_mean"), sum((n for _, n in sums.values()), F.lit(0)), lo, hi)
+        st = F.struct(F.lit(label).alias("scale"), F.lit(sum(len(items) for _, items in subscales)).alias("item_count"),
+                      subs.alias("subscales"), total.alias("total"))
+        return out.select(*kept, F.when(m.isNotNull(), st).alias(out_col))
+    return op
 
 
 def with_scales() -> Op:
-    """CHK10: ``burnout_scales`` struct(bat12, olbi); NULL when neither taken."""
+    """CHK10: ``bat12_scores``, ``olbi_scores`` and ``burnout_scales`` struct(bat12, olbi); NULL when neither taken."""
     def op(df: DataFrame) -> DataFrame:
-        bat = bat12_score() if "bat12_responses" in df.columns else F.lit(None)
-        olbi = olbi_score() if "olbi_responses" in df.columns else F.lit(None)
-        out = df.withColumn("bat12_scores", bat).withColumn("olbi_scores", olbi)
+        scales = (("bat12_responses", "bat12_scores", BAT12_SUBSCALES, BAT12_RANGE, "BAT-12", ()),
+                  ("olbi_responses", "olbi_scores", OLBI_SUBSCALES, OLBI_RANGE, "OLBI", OLBI_REVERSE_ITEMS))
+        out = df
+        for map_col, out_col, *how in scales:
+            out = out.transform(scale_score(map_col, out_col, *how)) if map_col in df.columns else out.withColumn(out_col, F.lit(None))
         both_null = F.col("bat12_scores").isNull() & F.col("olbi_scores").isNull()
         return out.withColumn("burnout_scales", F.when(~both_null, F.struct(
             F.col("bat12_scores").alias("bat12"), F.col("olbi_scores").alias("olbi"))))
