@@ -2,8 +2,11 @@
 
 import math
 
+import pytest
+
 from wellspring.functions.vocab import CHECKIN_BURNOUT_THEMES
 from wellspring.operators.debrief import debrief_signals, domain_strengths
+from wellspring.operators import sentiment
 from wellspring.operators.recommend import categories_of
 from wellspring.operators.sentiment import add_sentiment, contextual_compound
 from pyspark.sql import functions as F
@@ -27,6 +30,16 @@ def test_negations_and_boosters(spark):
     assert (out.sentiment_label, out.sentiment_source) == ("negative", "context")
 
 
+def test_a_large_lexicon_gives_the_same(spark, monkeypatch):
+    lexicon = spark.createDataFrame([("good", 1.9), ("BAD", -2.5)], "word string, valence double")
+    df = spark.createDataFrame([("a", "not very good, bad bad"), ("b", "so bad"), ("c", "x")], "id string, text string")
+    small = sorted((r.id, r.compound) for r in df.transform(contextual_compound(lexicon)).collect())
+    monkeypatch.setattr(sentiment, "BROADCAST_WORDS", 1)
+    assert sorted((r.id, r.compound) for r in df.transform(contextual_compound(lexicon)).collect()) == small
+    with pytest.raises(ValueError):
+        df.transform(contextual_compound(lexicon.union(spark.createDataFrame([("bad", 1.0)], lexicon.schema))))
+
+
 def test_debrief_signals(spark):
     rows = [(1, "Totally EXHAUSTED and drained. Can't focus. Counting down until I quit."), (2, ""), (3, None), (4, " \n"),
             (5, "fine")]

@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions.vocab import (BOOSTER_FADE, BOOSTER_STEP, BOOSTERS_DOWN, BOOSTERS_UP, COMPOUND_NEGATIVE,
                                COMPOUND_POSITIVE, KEYWORD_THEMES, NEGATION_FACTOR, NEGATIONS, POLARITY_NEGATIVE,
                                POLARITY_POSITIVE)
+from ..session import cut_lineage
 from .normalize import is_warehouse
 
 Op = Callable[[DataFrame], DataFrame]
@@ -24,6 +25,8 @@ Op = Callable[[DataFrame], DataFrame]
 WORD_PATTERN = T.WORD_CLASS + "+"
 # published VADER normalisation constant (Hutto & Gilbert, 2014)
 VADER_ALPHA = 15.0
+# words of a lexicon that is broadcast, some 50 MB of memory
+BROADCAST_WORDS = 500_000
 
 
 def word_tokens(col) -> Column:
@@ -98,9 +101,10 @@ def contextual_compound(lexicon: DataFrame, text_col: str = "text", id_col: str
 
     A booster among them strengthens (or weakens) the word's valence by its step, faded by distance;
     each negation turns and damps it by the published factor. The words before come from the token
-    array itself, so a word's context is known before the join: tokens are counted per row, word and
-    context, and one row of each meets the lexicon. Apostrophes are left out ("don't" is "dont").
-    Boosters and negations themselves are scored only if the lexicon lists them.
+    array itself, so a word's context is known before the join. A lexicon of at most
+    ``BROADCAST_WORDS`` words goes to the tokens, whose sums then collapse per row before any shuffle; the tokens go
+    to a larger one. Apostrophes are left out ("don't" is "dont"). Boosters and negations
+    themselves are scored only if the lexicon lists them; a word listed twice raises.
     """
     steps = dict(boosters) if boosters is not None else {**{w: BOOSTER_STEP for w in BOOSTERS_UP},
                                                          **{w: -BOOSTER_STEP for w in BOOSTERS_DOWN}}
@@ -117,12 +121,15 @@ def contextual_compound(lexicon: DataFrame, text_col: str = "text", id_col: str
                 size = F.when(word.isin([w for w, v in steps.items() if v == value]), F.lit(float(value))).otherwise(size)
             step = step + size * fade
             turns = turns + F.when(word.isin(list(negations)), 1).otherwise(0)
-        seen = words.select("_id", "_tok", step.alias("_step"), turns.alias("_turns"))
-        seen = seen.groupBy("_id", "_tok", "_step", "_turns").agg(F.count(F.lit(1)).alias("_n"))
-        hits = seen.join(_lexicon(lexicon, ["valence"]), "_tok")
+        seen = words.select("_id", "_tok", step.alias("_step"), turns.cast("byte").alias("_turns"))
+        lex = cut_lineage(lexicon.select(F.lower("word").alias("_tok"), F.col("valence").cast("double").alias("valence")))
+        listed, distinct = lex.agg(F.count("_tok"), F.count_distinct("_tok")).first()
+        if listed != distinct:
+            raise ValueError(f"lexicon lists {listed - distinct} words more than once")
+        hits = seen.join(F.broadcast(lex) if listed <= BROADCAST_WORDS else lex, "_tok")
         felt = (F.col("valence") + F.signum("valence") * F.col("_step")) * F.pow(F.lit(NEGATION_FACTOR), F.col("_turns"))
         # summed as decimals, so that the order of rows can't move a sum over a label's threshold
-        sums = hits.groupBy("_id").agg(F.sum(felt.cast("decimal(18,12)") * F.col("_n")).cast("double").alias("_s"))
+        sums = hits.groupBy("_id").agg(F.sum(felt.cast("decimal(18,12)")).cast("double").alias("_s"))
         out = df.drop("compound").join(sums, F.col(id_col) == F.col("_id"), "left").drop("_id")
         s = F.coalesce(F.col("_s"), F.lit(0.0))
         return out.withColumn("compound", s / F.sqrt(s * s + F.lit(VADER_ALPHA))).drop("_s")
