@@ -1,4 +1,4 @@
-"""Registered queries over shift debriefs and sentiment in context, with their SQL twins."""
+"""Registered queries over shift debriefs, feedback, cleaned texts and sentiment in context, with their SQL twins."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CHECKIN_BURNOUT_THEMES, KEYWORD_THEMES, NEGATION_FACTOR, THEME_TO_DOMAIN
+from ..operators.cleaning import clean_table
 from ..operators.debrief import debrief_signals, domain_strengths
+from ..operators.feedback import RATINGS, activity_outcomes
 from ..operators.recommend import categories_of
 from ..operators.sentiment import compound_label, contextual_compound, lexicon_features, polarity_label, word_tokens
 from ..sources import dims as D
 from ..sources import views as V
+from ..sources.tables import read_table
 from . import sqltext as S
 
 #: The given texts are invented prose: some of their commonest words stand for boosters and negations.
@@ -115,3 +118,25 @@ f AS (SELECT *, {flags} FROM lab),
 z AS (SELECT conv_id, turn, sentiment_label, {themes} AS themes, {', '.join(levels)} FROM f),
 b AS (SELECT conv_id, turn, string_agg(cat, ',' ORDER BY cat) AS boosted FROM ({boost}) GROUP BY ALL)
 SELECT z.*, coalesce(boosted, '') AS boosted FROM z LEFT JOIN b USING (conv_id, turn)"""
+
+
+# ------------------------------------------------- feedback (CHK14, CHK15)
+def q_activity_outcomes(spark: SparkSession, data_dir: str) -> DataFrame:
+    """CHK14, CHK15: what activities changed, and for how many they were of help."""
+    out = V.feedback_projection(read_table(spark, data_dir, "events")).transform(activity_outcomes())
+    return out.select("activity_id", "n_feedback", *[F.round(c, 6).alias(c) for c in (
+        "helpful_rate", *[f"avg_{name}_change" for name in RATINGS])])
+
+
+def oracle_activity_outcomes() -> str:
+    changes = ", ".join(f"{S.rnd(f'avg(({name}_after - {name}_before) * {sign})', 6)} AS avg_{name}_change" for name, sign in RATINGS.items())
+    return f"""WITH {V.ORACLE_CTES['feedback']}
+SELECT activity_id, count(*) AS n_feedback, {S.rnd('avg(CAST(helpful AS INTEGER))', 6)} AS helpful_rate, {changes}
+FROM feedback GROUP BY activity_id"""
+
+
+# --------------------------------------------------------- clean a table (TXT8)
+def q_clean_table(spark: SparkSession, data_dir: str) -> DataFrame:
+    """TXT8 over the corpus. Unicode normalisation has no SQL form; a test holds it against plain Python."""
+    c = V.corpus(spark, data_dir).withColumn("source", F.when(F.col("source") == "forum", "reddit").otherwise("glassdoor"))
+    return c.transform(clean_table(order=("_row_ord",))).select("id", "source", F.md5("text").alias("text_md5"))
