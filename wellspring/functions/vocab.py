@@ -97,6 +97,48 @@ CORPORATE_TERMS = [
     "finance", "legal", "executive", "vp ", "vice president",
 ]
 
+# --- fixed values: terms of a warehouse role in a job title -----------------
+TITLE_WAREHOUSE_TERMS = [
+    "warehouse", "fulfillment", "picker", "packer", "stower",
+    "sorter", "loader", "unloader", "forklift", "associate",
+    "tier 1", "tier 3", "fc", "delivery", "driver", "handler",
+    "operations", "logistics", "shipping", "receiving",
+]
+
+# --- fixed values: companies kept by the company-scoped review reader -------
+TARGET_COMPANIES = [
+    "amazon", "walmart", "target", "ups", "fedex", "usps",
+    "xpo", "xpo logistics", "dhl", "home depot", "lowe",
+    "costco", "kroger", "dollar general", "dollar tree",
+    "sysco", "chewy", "wayfair", "chewy.com",
+    "fulfillment", "warehouse", "distribution",
+]
+
+# --- fixed values: sub-forums and keywords of posts about work --------------
+TARGET_CHANNELS = [
+    "warehouseworkers", "warehousing", "amazonfc", "fulfillmentcenter",
+    "walmart", "target", "upsdrivers", "fedex", "usps",
+    "manufacturing", "antiwork", "workreform", "workplace", "jobs",
+    "talesfromretail", "talesfromyourserver",
+]
+WORK_KEYWORDS = [
+    "warehouse", "manager", "boss", "shift", "quota", "overtime",
+    "pay", "wage", "hours", "fired", "quit", "burnout", "exhausted",
+    "injury", "forklift", "amazon", "ups", "fedex", "usps", "walmart",
+    "worker", "employee", "job", "work", "coworker", "schedule",
+]
+
+# --- fixed values: companies named in a text; a later one overrides ---------
+# words and phrases, whole words only; "." stands for any one character
+COMPANY_MENTIONS = [
+    ("Amazon", ["amazon", "afc", "fulfillment center"]),
+    ("Walmart", ["walmart", "sam.s club"]),
+    ("UPS", ["ups", "united parcel"]),
+    ("FedEx", ["fedex", "fed ex"]),
+    ("USPS", ["usps", "post office", "mail carrier"]),
+    ("Target", ["target"]),
+]
+
 # --- fixed values: sub-forum groups (sector categories) --------------------
 SUBREDDIT_GROUPS = {
     "warehouse": ["Warehouseworkers", "Warehousing", "AmazonFC", "walmart", "Target"],

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vocab import CORPORATE_TERMS, SUBREDDIT_GROUPS, WAREHOUSE_TERMS
+from ..functions.vocab import COMPANY_MENTIONS, CORPORATE_TERMS, SUBREDDIT_GROUPS, TITLE_WAREHOUSE_TERMS, WAREHOUSE_TERMS
 
 Op = Callable[[DataFrame], DataFrame]
 
@@ -192,11 +192,8 @@ REVIEW_DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy", "MM/d
 
 def coerce_ratings(df: DataFrame, cols: Sequence[str] = RATING_COLS) -> DataFrame:
     """PRJ14: rating columns to double; absent columns become NULL."""
-    out = df
-    for c in cols:
-        val = F.col(c).cast("string").try_cast("double") if c in df.columns else F.lit(None).cast("double")
-        out = out.withColumn(c, val)
-    return out
+    return df.withColumns({c: (F.col(c).cast("string").try_cast("double") if c in df.columns
+                               else F.lit(None).cast("double")) for c in cols})
 
 
 def parse_review_date(c: Column) -> Column:
@@ -205,30 +202,48 @@ def parse_review_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in REVIEW_DATE_FORMATS])
 
 
+# --- fixed values: review columns of the company-scoped reader ----------------
+REVIEW_COLUMN_MAP = {
+    "firm": "company_name", "date_review": "rating_date", "job_title": "employee_job_title",
+    "current": "employee_status", "location": "location", "overall_rating": "rating_overall",
+    "work_life_balance": "rating_work_life", "culture_values": "rating_culture",
+    "diversity_inclusion": "rating_diversity", "career_opp": "rating_career",
+    "comp_benefits": "rating_comp", "senior_mgmt": "rating_mgmt",
+    "recommend": "recommend_to_friend", "ceo_approv": "ceo_approval",
+    "outlook": "business_outlook", "headline": "summary_text", "pros": "pros_text",
+    "cons": "cons_text",
+}
+
+
 def rename_lower(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    """PRJ16: rename after ``lower(trim(name))``."""
-    out = df
+    """PRJ16: every name to ``lower(trim(name))`` and those of ``mapping`` renamed.
+    Of columns that come to one name the first stays."""
+    named: dict[str, Column] = {}
     for c in df.columns:
         key = c.strip().lower()
-        if key in mapping:
-            out = out.withColumnRenamed(c, mapping[key])
-    return out
+        named.setdefault(mapping.get(key, key), _q(c))
+    return df.select(*[col.alias(name) for name, col in named.items()])
+
+
+def mention_rules(mentions: Sequence[tuple[str, Sequence[str]]] = COMPANY_MENTIONS) -> list[tuple[str, str]]:
+    """``(pattern, company)``: any of a company's phrases as whole words."""
+    return [("|".join(rf"(?U)\b{p}\b" for p in phrases), name) for name, phrases in mentions]
 
 
-def infer_company(text: Column, rules: Sequence[tuple[str, str]], default: str = "Various") -> Column:
+def infer_company(text: Column, rules: Sequence[tuple[str, str]] | None = None, default: str = "Various") -> Column:
     """PRJ17: company from ordered regex rules; a later match overrides an
     earlier one, so the ``when`` chain is built in reverse order."""
+    rules = mention_rules() if rules is None else rules
     low = F.lower(F.coalesce(text, F.lit("")))
-    expr = None
+    out = None
     for pattern, name in reversed(list(rules)):
-        expr = F.when(low.rlike(pattern), F.lit(name)) if expr is None else expr.when(low.rlike(pattern), F.lit(name))
-    return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
+        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+    return F.lit(default) if out is None else out.otherwise(default)
 
 
-def title_is_warehouse(title: Column) -> Column:
-    """PRJ18: any warehouse term in lower(title)."""
-    return F.exists(F.array(*[F.lit(t) for t in WAREHOUSE_TERMS]),
-                    lambda t: F.instr(F.lower(F.coalesce(title, F.lit(""))), t) > 0)
+def title_is_warehouse(title: Column, terms: Sequence[str] = TITLE_WAREHOUSE_TERMS) -> Column:
+    """PRJ18: any term of a warehouse role in lower(title); false without a title."""
+    return F.coalesce(F.lower(title.cast("string")).rlike("|".join(terms)), F.lit(False))
 
 
 def is_warehouse(title: Column, text: Column) -> Column:

@@ -15,6 +15,7 @@ _MODULES = [
     "wellspring.plans.registered_topics",
     "wellspring.plans.registered_stream",
     "wellspring.plans.registered_debrief",
+    "wellspring.plans.registered_reviews",
     "wellspring.plans.registered_ml",
 ]
 

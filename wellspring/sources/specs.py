@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.normalize import FIELD_MAPS, RECORD_TYPES, normalize_forum
 from ..operators.reports import stage_counter
+from ..operators.reviews import Op, merge_posts
 from .files import read_csv_skip_bad
 
 log = logging.getLogger(__name__)
@@ -122,3 +123,20 @@ def load_sources(spark: SparkSession, specs: Iterable[SourceSpec]) -> tuple[Data
         count, counts[spec.name] = stage_counter(f"read {spec.name}")
         out = out.unionByName(load_source(spark, spec).transform(count))
     return out, counts
+
+
+def load_export(spark: SparkSession, path: str, job: Op, count: Op | None = None) -> DataFrame | None:
+    """SRC5-SRC7: the files of one export through a job of ``operators.reviews``; ``count`` (a stage counter)
+    sees the rows as read. None, with a warning, if there are no files."""
+    raw = read_files(spark, find_files(spark, path))
+    if raw is None:
+        log.warning("no data files in %s", path)
+        return None
+    return (raw if count is None else raw.transform(count)).transform(job)
+
+
+def load_posts(spark: SparkSession, exports: Sequence[tuple[str, Op]], order: Sequence[str] = ()) -> DataFrame | None:
+    """SRC8: ``(path, job)`` of several forum exports in order, those without files left out; one row a text."""
+    frames = [load_export(spark, path, job) for path, job in exports]
+    frames = [f for f in frames if f is not None]
+    return merge_posts(frames, order) if frames else None
