@@ -4,6 +4,7 @@ joins that survive a hot key, bounded Arrow blocks and connected components."""
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellspring.session import cut_lineage
+from wellspring.session import cut_lineage, scratch_path
 
 #: ``[\x20\x09-\x0D]``, the white space of every text rule here.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -53,6 +54,34 @@ def drop_unused(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Steps:
+    """Tables between the steps of one job, as Parquet below the shared checkpoint folder. They cut the
+    lineage as checkpoints do and outlive executors, and go as soon as their last reader has run."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written as ``name`` (which replaces what had that name) and read again."""
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables named (without names: all), and the shuffle files that nobody needs any more."""
+        for folder in [f"{self.base}/{n}" for n in names] or [self.base]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_unused(self.spark)
+
+
+def plain_names(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``docs`` under names that no helper column has, the new names of the columns ``used``, and the
+    old names in order (for ``toDF``): extra columns may have any name."""
+    names = [f"col_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(c)] for c in used], docs.columns
+
+
 # ----------------------------------------------------------------- Bloom filters
 
 
@@ -201,10 +230,10 @@ def map_texts(df: DataFrame, keep: Sequence[str], text: str, fn: Callable[[list[
 # ----------------------------------------------------------------- components
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = 40, keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """``(node, comp)``: connected components of undirected ``links(a, b)`` (long), the least
     node naming each. Alternates large-star and small-star steps, every one a grouped
-    minimum plus a join, until only stars are left; each round is checkpointed."""
+    minimum plus a join, until only stars are left; ``keep`` checkpoints each round."""
     def oriented(df: DataFrame) -> DataFrame:
         return df.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -229,12 +258,12 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         n, open_ = seen.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
         return n or 0, bool(open_)
 
-    edges = cut_lineage(oriented(links))
+    edges = keep(oriented(links))
     for _ in range(max_rounds):
         n, open_ = stand(edges)
         if not open_:
             break
-        edges = cut_lineage(star(star(edges, 2 * n, True), n, False))
+        edges = keep(star(star(edges, 2 * n, True), n, False))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import bloom_table, id_or_lowest, join_groups, possibly_in, without_space
+from wellspring.llm.common import bloom_table, id_or_lowest, join_groups, plain_names, possibly_in, without_space
 from wellspring.session import cut_lineage
 
 REPORT = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -75,6 +75,7 @@ def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they came."""
+    docs, (doc_id, text), names = plain_names(docs, doc_id, text)
     cols = docs.columns
     prints = cut_lineage(_prints(_marked(docs.select(doc_id, text), text), doc_id, text).filter("_may"))
     lost = _decided(prints).filter("not wins or copies > 1")
@@ -88,4 +89,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     met = keyed.filter("_may").join(lost, "_k", "left")
     once = met.filter("_wins").dropDuplicates(["_k"])
     return keyed.filter("not _may").select(*cols).union(met.filter("_wins is null").select(*cols)).union(
-        once.select(*cols))
+        once.select(*cols)).toDF(*names)

@@ -78,14 +78,16 @@ def letter_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_ids(docs: DataFrame, doc_id: str, lang: str, per_lang: int, seed: int) -> DataFrame:
-    """``(doc_id, lang)`` of at most ``per_lang`` documents of each language, the first by hash."""
+    """``(doc_id, lang)`` of at most ``per_lang`` documents of each language, the first by hash.
+    An id on many rows counts once for each of its languages."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
     known = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
     # hashes under a bound that leaves a language about 1.5 x per_lang rows: what is ranked doesn't grow with it
-    sizes = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # at most 64 rows, see train()
+    sizes = known.groupBy("_lang").agg(F.approx_count_distinct("_id").alias("_n"))  # at most 64 rows, see train()
     spot = F.xxhash64(F.lit(seed), "_id")
     part = F.shiftrightunsigned(spot, 11).cast("double") / float(1 << 53)
     known = known.join(F.broadcast(sizes), "_lang").filter(part * F.col("_n") < 1.5 * per_lang + 100)
+    known = known.dropDuplicates(["_id", "_lang"])
     order = Window.partitionBy("_lang").orderBy(part, "_id")
     return known.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_lang).drop("_rank", "_n")
 
@@ -148,7 +150,9 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return Model([], np.zeros(0, _U), np.zeros(0, _U))
     bounded_batches(spark)
     ids = sample_ids(docs, doc_id, lang, per_lang, seed)
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    # of rows that share id and language the least text is learned: the sample's size bounds the rows
+    texts = texts.join(F.broadcast(ids), ["_id", "_lang"]).groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
     counts = texts.select("_lang", "_text").mapInArrow(_counted, "lang string, gram bigint, n bigint")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n >= 3")
     rate = counts.groupBy("lang").agg(F.sum("n").alias("all"))

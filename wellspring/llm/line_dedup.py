@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import (WHITE_SPACE, bloom_table, id_or_lowest, join_groups, only_possible, possibly_in,
+from wellspring.llm.common import (WHITE_SPACE, bloom_table, id_or_lowest, join_groups, only_possible, plain_names, possibly_in,
                                    without_space)
 from wellspring.session import cut_lineage
 
@@ -112,19 +112,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """``docs`` with later repeated runs of lines cut from ``text``, plus ``n_lines`` (all lines),
     ``deleted`` (their numbers from 1) and ``n_deleted``. Documents without such runs pass unshuffled."""
     docs = docs.drop("n_lines", "deleted", "n_deleted")
+    docs, (doc_id, text), names = plain_names(docs, doc_id, text)
     cols = docs.columns
     lost = cut_lineage(repeated_lines(docs, doc_id, text, min_words))
-    keyed = docs.withColumn("uid", _uid(doc_id, text)) if "uid" not in cols else docs.withColumn("_uid", _uid(doc_id, text))
-    uid = "uid" if "uid" not in cols else "_uid"
+    keyed = docs.withColumn("_uid", _uid(doc_id, text))
     lost = lost.withColumnRenamed("uid", "_lost")
-    keyed = possibly_in(keyed, uid, bloom_table(lost, "_lost", lost.count()), "_may")
+    keyed = possibly_in(keyed, "_uid", bloom_table(lost, "_lost", lost.count()), "_may")
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     numbers = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: without_space(F.element_at("_lines", i)) != "")
-    met = keyed.filter("_may").join(lost, F.col(uid) == F.col("_lost"), "left").withColumn("_lines", lines)
+    met = keyed.filter("_may").join(lost, F.col("_uid") == F.col("_lost"), "left").withColumn("_lines", lines)
     chosen = F.get(F.transform(F.array(numbers), lambda at: F.transform("places", lambda p: F.element_at(at, p))), F.lit(0))
     met = met.withColumn("deleted", F.coalesce(F.when(F.col("places").isNotNull(), chosen), F.array().cast("array<int>")))
     rest = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("deleted", i + 1)), "\n")
     met = met.withColumn(text, F.when(F.size("deleted") > 0, rest).otherwise(F.col(text)))
     out = [F.size("_lines").alias("n_lines"), "deleted", F.size("deleted").alias("n_deleted")]
     straight = keyed.filter("not _may").withColumn("_lines", lines).withColumn("deleted", F.array().cast("array<int>"))
-    return met.select(*cols, *out).union(straight.select(*cols, *out))
+    return met.select(*cols, *out).union(straight.select(*cols, *out)).toDF(*names, "n_lines", "deleted", "n_deleted")

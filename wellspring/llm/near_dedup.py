@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from wellspring.llm import ngrams
 from wellspring.llm.common import (blocks, bounded_batches, components, drop_unused, id_or_lowest, join_groups,
-                                   map_texts, only_possible)
+                                   map_texts, only_possible, plain_names)
 from wellspring.session import cut_lineage
 
 SHINGLE = 5
@@ -283,6 +283,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Only rows whose doc_id may be among those that lose a row are shuffled.
     """
+    docs, (doc_id, text), names = plain_names(docs, doc_id, text)
     cols = docs.columns
     judged = classes(docs, doc_id, text).select(id_or_lowest(F.col("doc_id")).alias("_id"), "kept", "text_key")
     judged = cut_lineage(judged)
@@ -298,4 +299,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     winners = judged.filter("kept").select(F.col("_id").alias("_lost"), F.col("text_key").alias("_key"))
     mixed = mixed.join(winners, ["_lost", "_key"], "left_semi").dropDuplicates(["_lost", "_key"])
     return marked.filter("not _may").select(*cols).union(
-        met.filter("_kept is null").select(*cols)).union(mixed.select(*cols))
+        met.filter("_kept is null").select(*cols)).union(mixed.select(*cols)).toDF(*names)

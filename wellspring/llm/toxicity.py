@@ -116,6 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bounded_batches(docs.sparkSession)
     ids = F.broadcast(labelled_sample(labels, max_rows, seed))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(ids, "_id")
+    # of rows that share an id the least text is learned: max_rows bounds rows as well as ids
+    rows = rows.groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
 
     def featured(batches):
         for part, texts in blocks(batches, "_text"):
