@@ -12,13 +12,15 @@ weights is the Jaccard similarity of the sets.
    in Arrow blocks with numpy. Copies are grouped first and take part once.
 2. Texts that share a band are candidates. In each band bucket one member, the least by a
    hash made with the bucket, is compared with all others: as many pairs as members.
-   As every bucket has its own, texts of a large group meet many of them.
+   As every bucket has its own, texts of a large group meet many of them. The pairs of
+   ``FIRST_BANDS`` bands come first; of the others those go whose ends are in one class by then.
 3. Pairs are verified: equal components first (a pair that the signatures put below
    ``LOOSE`` is 5 standard errors under the threshold), then exactly, the Jaccard
    similarity of the sets of shingles being ``THRESHOLD`` or more.
 4. Links join texts to classes (connected components). Members of a bucket that are in
    another class than most of it are then compared with the bucket's members of other
-   classes, so that no candidate pair across classes stays unverified. They are compared
+   classes, so that no candidate pair across classes stays unverified, in ``ROUNDS`` rounds
+   of bands, each with the classes found before it. They are compared
    in blocks of about ``BLOCK`` members: a row holds two blocks, and only links come out.
 5. Documents take their text's class, named by its smallest doc_id; that document stays.
 
@@ -41,9 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import ngrams
-from wellspring.llm.common import (blocks, bounded_batches, components, drop_unused, id_or_lowest, join_groups,
-                                   map_texts, only_possible, plain_names)
-from wellspring.session import cut_lineage
+from wellspring.llm.common import (Steps, blocks, bounded_batches, components, id_or_lowest, join_groups, map_texts,
+                                   only_possible, plain_names)
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -51,6 +52,10 @@ SIZE = BANDS * ROWS
 THRESHOLD, LOOSE = 0.8, 0.65
 #: Members of a bucket that are compared as one block.
 BLOCK = 32
+#: Bands whose pairs are verified first; pairs of the others count only across the classes found so far.
+FIRST_BANDS = 6
+#: Rounds in which the buckets that hold several classes are compared.
+ROUNDS = 3
 
 _U = np.uint64
 
@@ -141,21 +146,26 @@ def _similar(batches):
                                          names=["a", "b"])
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The ``pairs(a, b)`` of text keys that are similar, checkpointed."""
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str, steps: Steps,
+             name: str) -> DataFrame:
+    """The ``pairs(a, b)`` of text keys that are similar, kept as the step ``name``."""
     near = nodes.select("key", "sig")
     sides = pairs.join(near.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
     sides = sides.join(near.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-    likely = cut_lineage(sides.select("a", "b", "sa", "sb").mapInArrow(_likely, "a bigint, b bigint"))
-    found = cut_lineage(_texts(docs, nodes, likely.select(F.col("a").alias("key")).union(likely.select("b")), doc_id, text))
+    likely = steps.keep("likely", sides.select("a", "b", "sa", "sb").mapInArrow(_likely, "a bigint, b bigint"))
+    ends = likely.select(F.col("a").alias("key")).union(likely.select("b"))
+    found = steps.keep("found", _texts(docs, nodes, ends, doc_id, text, steps))
     both = likely.join(found.select(F.col("key").alias("a"), F.col("_text").alias("ta")), "a")
     both = both.join(found.select(F.col("key").alias("b"), F.col("_text").alias("tb")), "b")
-    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint").distinct())
+    out = steps.keep(name, both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint").distinct())
+    del sides, likely, ends, found, both
+    steps.drop("likely", "found", "used")
+    return out
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(key, _text)`` of the texts named, each by the document that stands for it."""
-    used = cut_lineage(keys.distinct().join(nodes.select("key", "rep"), "key"))
+def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text: str, steps: Steps) -> DataFrame:
+    """``(key, _text)`` of the texts named, each by the document that stands for it; reads the step ``used``."""
+    used = steps.keep("used", keys.distinct().join(nodes.select("key", "rep"), "key"))
 
     def keyed(batches):
         for part, texts in blocks(batches, "_text"):
@@ -198,75 +208,124 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
 
-def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: DataFrame, doc_id: str,
-                text: str) -> DataFrame:
-    """Links across classes inside buckets, checkpointed."""
+def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: DataFrame, doc_id: str, text: str,
+                steps: Steps, name: str) -> DataFrame:
+    """Links across classes inside buckets, kept as the step ``name``."""
     at = members.select("bucket", "key").join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
-    at = cut_lineage(at.select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
+    at = steps.keep("at", at.select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
     size = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = size.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"),
                                        F.sum("c").alias("size"))
-    split = cut_lineage(split.filter("comps > 1").select("bucket", F.col("m.comp").alias("main"), "size"))
-    at = cut_lineage(join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner"))
-    sets = map_texts(_texts(docs, nodes, at.select("key"), doc_id, text), ["key"], "_text", _shingle_bytes, "sh binary")
-    sets = cut_lineage(sets.dropDuplicates(["key"]).join(nodes.select("key", "sig"), "key"))
+    split = steps.keep("split", split.filter("comps > 1").select("bucket", F.col("m.comp").alias("main"), "size"))
+    at = steps.keep("mixed", join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner"))
+    steps.drop("at", "split")
+    sets = map_texts(_texts(docs, nodes, at.select("key"), doc_id, text, steps), ["key"], "_text", _shingle_bytes, "sh binary")
+    sets = steps.keep("sets", sets.dropDuplicates(["key"]).join(nodes.select("key", "sig"), "key"))
     # a text's set goes to each of its open buckets once; blocks are balanced by hash
     part = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / BLOCK))
     held = at.join(sets, "key").groupBy("bucket", part.alias("part")).agg(
         F.collect_list(F.struct("key", "comp", (F.col("comp") == F.col("main")).alias("main"), "sig", "sh")).alias("y"))
-    held = cut_lineage(held)
+    held = steps.keep("held", held)
+    del at, size, split, sets
+    steps.drop("mixed", "sets", "used")
     open_ = held.select("bucket", F.filter("y", lambda m: ~m["main"]).alias("x")).filter(F.size("x") > 0)
     both = open_.join(held, "bucket")
-    return cut_lineage(both.select("x", "y").mapInArrow(_compare, "a bigint, b bigint").distinct())
+    out = steps.keep(name, both.select("x", "y").mapInArrow(_compare, "a bigint, b bigint").distinct())
+    del held, open_, both
+    steps.drop("held")
+    return out
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """``(a, b)``: each member of a bucket with the bucket's hub."""
+    hubs = members.filter("first").select("bucket", F.col("key").alias("hub"), "size")
+    star = join_groups(members.filter("not first").select("bucket", "key"), hubs, "bucket", "size",
+                       max(1, members.count()), ["key"], how="inner")
+    return star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one class yet."""
+    of = comps.select(F.col("node"), "comp")
+    out = pairs.join(of.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    out = out.join(of.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    return out.filter(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (its class's smallest doc_id), class_size (documents),
     n_verified (pairs of its text that were compared and found similar; members of one class that no
     comparison needed are not among them) and kept (one document of each class)."""
+    return _classes(docs, doc_id, text, Steps(docs.sparkSession, "near"))
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, steps: Steps) -> DataFrame:
+    """``classes`` over step tables; those it still reads when it returns are few and narrow."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(doc_id, text)
     rows = map_texts(docs.select(id_or_lowest(F.col(doc_id)).alias("id"), F.col(doc_id).isNull().alias("no_id"), text),
                      ["id", "no_id"], text, describe, "key bigint, n bigint, bands array<bigint>, sig binary")
-    rows = cut_lineage(rows)
+    full = steps.keep("full", rows)
+    rows = steps.keep("rows", full.select("id", "no_id", "key"))
     first = rows.groupBy("key").agg(F.min(F.struct("no_id", "id")).alias("f"), F.count(F.lit(1)).alias("copies"))
     nodes = first.select("key", F.col("f.id").alias("rep"), F.col("f.no_id").alias("no_id"), "copies")
-    what = rows.join(nodes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
-    nodes = cut_lineage(nodes.join(what.select("key", "n", "bands", "sig"), "key"))
+    what = full.join(nodes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
+    nodes = steps.keep("nodes", nodes.join(what.select("key", "n", "bands", "sig"), "key"))
+    del full, what, first
+    steps.drop("full")
 
-    bands = nodes.select(F.explode("bands").alias("bucket"), "key")
+    bands = nodes.select(F.posexplode("bands").alias("band", "bucket"), "key")
     bands = bands.withColumn("turn", F.xxhash64("bucket", "key"))
     shared = bands.groupBy("bucket").agg(F.min("turn").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut_lineage(bands.join(shared, "bucket").select(
-        "bucket", "key", "size", (F.col("turn") == F.col("least")).alias("first")))
-    hubs = members.filter("first").select("bucket", F.col("key").alias("hub"), "size")
-    star = join_groups(members.filter("not first").select("bucket", "key"), hubs, "bucket", "size",
-                       max(1, members.count()), ["key"], how="inner")
-    star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    links = verified(docs, nodes, star, doc_id, text)
-    del bands, shared, hubs, star
-    drop_unused(spark)
-    comps = cut_lineage(components(links))
-    drop_unused(spark)
-    more = _links_left(docs, nodes, members, comps, doc_id, text)
-    del members
-    drop_unused(spark)
+    members = steps.keep("members", bands.join(shared, "bucket").select(
+        "band", "bucket", "key", "size", (F.col("turn") == F.col("least")).alias("first")))
+    del bands, shared
+
+    edges = iter(range(1 << 30))
+    keep = lambda df: steps.keep(f"edges-{next(edges)}", df)
+
+    def joined(links: DataFrame, name: str) -> DataFrame:
+        """The classes that links make, kept as the step ``name``; rounds of the search for them go."""
+        start = next(edges)
+        out = steps.keep(name, components(links, keep=keep))
+        steps.drop(*[f"edges-{i}" for i in range(start, next(edges))])
+        return out
+
+    def as_links(comps: DataFrame) -> DataFrame:
+        return comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
+
+    # most members of a class meet in the first bands: of the others only pairs across classes are left
+    links = verified(docs, nodes, _star(members.filter(F.col("band") < FIRST_BANDS)), doc_id, text, steps, "links-0")
+    comps = joined(links, "comps-0")
+    rest = _across(_star(members.filter(F.col("band") >= FIRST_BANDS)), comps)
+    more = verified(docs, nodes, rest, doc_id, text, steps, "links-1")
+    links = links.union(more)
     if more.take(1):
-        links = cut_lineage(links.union(more).distinct())
-        # the classes so far are stars already: a few rounds join them
-        comps = cut_lineage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
+        comps = joined(as_links(comps).union(more), "comps-1")
+    for turn in range(ROUNDS):
+        part = members.filter(F.col("band") % ROUNDS == turn)
+        more = _links_left(docs, nodes, part, comps, doc_id, text, steps, f"links-{turn + 2}")
+        links = links.union(more)
+        if more.take(1):
+            # the classes so far are stars already: a few rounds join them
+            comps = joined(as_links(comps).union(more), f"comps-{turn + 2}")
+    links = steps.keep("links", links.distinct())
+    del members, more, part, rest
+    steps.drop("members", *[f"links-{i}" for i in range(ROUNDS + 2)])
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_verified"))
     texts = nodes.select("key", "rep", "no_id", "copies").join(
         comps.select(F.col("node").alias("key"), "comp"), "key", "left").join(ends, "key", "left")
-    texts = cut_lineage(texts.select("key", "rep", "no_id", "copies", F.coalesce("comp", "key").alias("comp"),
+    texts = steps.keep("texts", texts.select("key", "rep", "no_id", "copies", F.coalesce("comp", "key").alias("comp"),
                                      F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified")))
     whole = texts.groupBy("comp").agg(F.min(F.struct("no_id", "rep", "key")).alias("head"),
                                       F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
-    texts = join_groups(texts, cut_lineage(whole), "comp", "class_size", max(1, rows.count()), ["key"])
-    texts = cut_lineage(texts.select("key", "copies", "n_verified", "class_size", "head"))
+    texts = join_groups(texts, steps.keep("whole", whole), "comp", "class_size", max(1, rows.count()), ["key"])
+    texts = steps.keep("decided", texts.select("key", "copies", "n_verified", "class_size", "head"))
+    del nodes, comps, ends, links, whole
+    steps.drop("nodes", "links", "texts", "whole", *[f"comps-{i}" for i in range(ROUNDS + 2)])
     # rows that repeat id and text are alike: their number is enough
     same = rows.groupBy("key", "id", "no_id").agg(F.count(F.lit(1)).alias("times"))
     out = join_groups(same, texts, "key", "copies", max(1, rows.count()), ["id"])
@@ -285,11 +344,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     docs, (doc_id, text), names = plain_names(docs, doc_id, text)
     cols = docs.columns
-    judged = classes(docs, doc_id, text).select(id_or_lowest(F.col("doc_id")).alias("_id"), "kept", "text_key")
-    judged = cut_lineage(judged)
-    drop_unused(docs.sparkSession)
+    steps, last = Steps(docs.sparkSession, "near"), Steps(docs.sparkSession, "kept")
+    judged = _classes(docs, doc_id, text, steps).select(id_or_lowest(F.col("doc_id")).alias("_id"), "kept", "text_key")
+    judged = last.keep("judged", judged)
+    steps.drop()
     ids = judged.groupBy("_id").agg(F.sum(F.col("kept").cast("int")).alias("_kept"), F.count(F.lit(1)).alias("_all"))
-    ids = cut_lineage(ids.filter("_kept < _all").withColumnRenamed("_id", "_lost"))
+    ids = last.keep("ids", ids.filter("_kept < _all").withColumnRenamed("_id", "_lost"))
     marked = docs.withColumn("_lost", id_or_lowest(F.col(doc_id)))
     marked = only_possible(marked, "_lost", ids, ids.count())
     met = marked.filter("_may").join(ids, "_lost", "left")
