@@ -4,6 +4,7 @@ joins that survive a hot key, bounded Arrow blocks and connected components."""
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wellspring.session import cut_lineage
+from wellspring.session import cut_lineage, scratch_path
 
 #: ``[\x20\x09-\x0D]``, the white space of every text rule here.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -53,6 +54,27 @@ def drop_unused(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Steps:
+    """Large tables between the steps of one job, as Parquet below the shared checkpoint folder. They cut the
+    lineage as checkpoints do and outlive executors, and are deleted once their last reader has run."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written as ``name`` and read again."""
+        df.write.mode("overwrite").parquet(f"{self.base}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables named, and the shuffle files that nobody needs any more."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_unused(self.spark)
+
+
 def plain_names(docs: DataFrame, *used: str) -> tuple[DataFrame, list[str], list[str]]:
     """``docs`` under names that no helper column has, the new names of the columns ``used``, and the
     old names in order (for ``toDF``): extra columns may have any name."""

@@ -12,14 +12,17 @@ weights is the Jaccard similarity of the sets.
    in Arrow blocks with numpy. Copies are grouped first and take part once.
 2. Texts that share a band are candidates. In each band bucket one member, the least by a
    hash made with the bucket, is compared with all others: as many pairs as members.
-   As every bucket has its own, texts of a large group meet many of them.
+   As every bucket has its own, texts of a large group meet many of them. Pairs of
+   ``FIRST_BANDS`` bands come first; of the others those whose ends are not in one class by then.
 3. Pairs are verified: equal components first (a pair that the signatures put below
    ``LOOSE`` is 5 standard errors under the threshold), then exactly, the Jaccard
-   similarity of the sets of shingles being ``THRESHOLD`` or more.
+   similarity of the sets of shingles being ``THRESHOLD`` or more. Hubs meet their members in
+   blocks, so a hub's signature or set travels once for ``BLOCK`` members.
 4. Links join texts to classes (connected components). Members of a bucket that are in
    another class than most of it are then compared with the bucket's members of other
    classes, so that no candidate pair across classes stays unverified. They are compared
-   in blocks of about ``BLOCK`` members: a row holds two blocks, and only links come out.
+   in blocks of about ``BLOCK`` members: a row holds two blocks, and only links come out. Signatures
+   come first, and only members with a likely partner bring their sets.
 5. Documents take their text's class, named by its smallest doc_id; that document stays.
 
 No step makes rows of all pairs of a group: step 4 compares only members that are not yet
@@ -41,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.llm import ngrams
-from wellspring.llm.common import (blocks, bounded_batches, components, drop_unused, id_or_lowest, join_groups,
-                                   map_texts, only_possible, plain_names)
+from wellspring.llm.common import (Steps, blocks, bounded_batches, components, drop_unused, id_or_lowest,
+                                   join_groups, map_texts, only_possible, plain_names)
 from wellspring.session import cut_lineage
 
 SHINGLE = 5
@@ -51,6 +54,8 @@ SIZE = BANDS * ROWS
 THRESHOLD, LOOSE = 0.8, 0.65
 #: Members of a bucket that are compared as one block.
 BLOCK = 32
+#: Bands whose pairs are verified first; pairs of the others count only across the classes found by then.
+FIRST_BANDS = 4
 
 _U = np.uint64
 
@@ -121,36 +126,83 @@ def _keys(hashed: np.ndarray, offsets: np.ndarray) -> list[int]:
 
 
 def _likely(batches):
-    """Pairs whose signatures agree on ``LOOSE`` of the components or more."""
+    """The pairs of a hub and a block's members whose signatures agree on ``LOOSE`` of the components or more."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIZE) for i in (2, 3))
-        keep = (a == b).mean(axis=1) >= LOOSE
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
+        hubs, keys, sizes = [], [], []
+        for i in range(batch.num_rows):
+            members = batch.column(2)[i].as_py()
+            sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(-1, SIZE)
+            own = next((k for k, m in enumerate(members) if m["own"]), None)
+            if own is None:
+                continue
+            agree = (sig == sig[own]).mean(axis=1) >= LOOSE
+            near = [m["key"] for m, yes in zip(members, agree) if yes and not m["own"]]
+            hubs += [members[own]["key"]] * len(near)
+            sizes += [batch.column(1)[i].as_py()] * len(near)
+            keys += near
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hubs, sizes, keys)], names=["hub", "size", "key"])
 
 
 def _similar(batches):
-    """Pairs of texts whose sets of shingles have ``THRESHOLD`` Jaccard similarity or more."""
+    """The pairs of a hub and a block's members whose sets of shingles have ``THRESHOLD`` Jaccard similarity or more."""
     for batch in batches:
-        keep = []
+        a, b = [], []
         for i in range(batch.num_rows):
-            s, own, _, _ = elements([batch.column(2)[i].as_py() or "", batch.column(3)[i].as_py() or ""])
-            x, y = s[own == 0], s[own == 1]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= THRESHOLD * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)],
-                                         names=["a", "b"])
-
-
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The ``pairs(a, b)`` of text keys that are similar, checkpointed."""
-    near = nodes.select("key", "sig")
-    sides = pairs.join(near.select(F.col("key").alias("a"), F.col("sig").alias("sa")), "a")
-    sides = sides.join(near.select(F.col("key").alias("b"), F.col("sig").alias("sb")), "b")
-    likely = cut_lineage(sides.select("a", "b", "sa", "sb").mapInArrow(_likely, "a bigint, b bigint"))
-    found = cut_lineage(_texts(docs, nodes, likely.select(F.col("a").alias("key")).union(likely.select("b")), doc_id, text))
-    both = likely.join(found.select(F.col("key").alias("a"), F.col("_text").alias("ta")), "a")
-    both = both.join(found.select(F.col("key").alias("b"), F.col("_text").alias("tb")), "b")
-    return cut_lineage(both.select("a", "b", "ta", "tb").mapInArrow(_similar, "a bigint, b bigint").distinct())
+            members = batch.column(2)[i].as_py()
+            hub = next((m for m in members if m["own"]), None)
+            if hub is None:
+                continue
+            x = np.frombuffer(hub["sh"], _U)
+            for m in members:
+                if m["own"]:
+                    continue
+                y = np.frombuffer(m["sh"], _U)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= THRESHOLD * (len(x) + len(y) - both):
+                    a.append(min(hub["key"], m["key"]))
+                    b.append(max(hub["key"], m["key"]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _hub_blocks(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """``(hub, size, members)``: the members that ``pairs(hub, size, key)`` give a hub, about ``BLOCK`` in a
+    row, and the hub itself in each; ``size`` is the most members that it may have.
+
+    ``values(key, <value>)`` are joined to the members and, once for each block, to the hub. A hub of
+    very many blocks has its value in several copies, so that no task makes all its blocks.
+    """
+    part = F.pmod(F.xxhash64("hub", "key"), F.ceil(F.col("size") / BLOCK))
+    dealt = pairs.select("hub", "size", part.alias("part"), "key")
+    far = F.shiftright("part", 10)
+    rows = dealt.select("hub", "size", "part", "key", F.lit(False).alias("own"), F.lit(0).cast("long").alias("copy")).union(
+        dealt.groupBy("hub", "part").agg(F.max("size").alias("size")).select(
+            "hub", "size", "part", F.col("hub").alias("key"), F.lit(True), far.cast("long")))
+    wide = cut_lineage(dealt.filter(far > 0).select(F.col("hub").alias("key"), far.cast("long").alias("copy")).distinct())
+    copies = values.withColumn("copy", F.lit(0).cast("long")).select("key", "copy", value)
+    if wide.take(1):
+        copies = copies.union(wide.join(values, "key").select("key", "copy", value))
+    met = rows.join(copies, ["key", "copy"])
+    return met.groupBy("hub", "part").agg(F.max("size").alias("size"),
+                                          F.collect_list(F.struct("own", "key", value)).alias("members")).select(
+        "hub", "size", "members")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, doc_id: str, text: str, steps: Steps) -> DataFrame:
+    """``(a, b)``, checkpointed: the ``pairs(hub, size, key)`` of text keys that are similar."""
+    likely = _hub_blocks(pairs, nodes.select("key", "sig"), "sig")
+    likely = cut_lineage(likely.mapInArrow(_likely, "hub bigint, size bigint, key bigint"))
+    sets = steps.keep("sets", _sets(docs, nodes, likely.select("hub").union(likely.select("key")), doc_id, text))
+    out = _hub_blocks(likely, sets, "sh").mapInArrow(_similar, "a bigint, b bigint")
+    out = cut_lineage(out.distinct())
+    del likely, sets
+    steps.drop("sets")
+    return out
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(key, sh)``: the sets of shingles of the texts whose keys are in the only column of ``keys``."""
+    found = _texts(docs, nodes, keys.toDF("key"), doc_id, text)
+    return map_texts(found, ["key"], "_text", _shingle_bytes, "sh binary").dropDuplicates(["key"])
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -175,17 +227,35 @@ def _shingle_bytes(texts: list[str]) -> dict[str, pa.Array]:
     return {"sh": pa.array([shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())}
 
 
+def _can_be(x: list[dict], y: list[dict]) -> np.ndarray:
+    """Which members of two blocks are of different classes and agree on ``LOOSE`` of the components or more."""
+    sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(-1, SIZE) for side in (x, y))
+    cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
+    return (cx[:, None] != cy[None, :]) & ((sx[:, None, :] == sy[None, :, :]).mean(axis=2) >= LOOSE)
+
+
+def _meeting(batches):
+    """``(bucket, key)`` of the members of two blocks that have a likely partner in the other."""
+    for batch in batches:
+        buckets, keys = [], []
+        for i in range(batch.num_rows):
+            x, y = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            can = _can_be(x, y)
+            met = {m["key"] for side, any_ in ((x, can.any(axis=1)), (y, can.any(axis=0)))
+                   for m, yes in zip(side, any_) if yes}
+            keys += sorted(met)
+            buckets += [batch.column(0)[i].as_py()] * len(met)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (buckets, keys)], names=["bucket", "key"])
+
+
 def _compare(batches):
     """Links between the members of two blocks that are of different classes."""
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
-            x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            sx, sy = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(-1, SIZE) for side in (x, y))
-            cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
+            x, y = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
             nx, ny = (np.array([len(m["sh"]) for m in side], float) for side in (x, y))
-            can = ((cx[:, None] != cy[None, :]) & (nx[:, None] >= THRESHOLD * ny) & (ny >= THRESHOLD * nx[:, None])
-                   & ((sx[:, None, :] == sy[None, :, :]).mean(axis=2) >= LOOSE))
+            can = _can_be(x, y) & (nx[:, None] >= THRESHOLD * ny) & (ny >= THRESHOLD * nx[:, None])
             for r in np.flatnonzero(can.any(axis=1)):
                 mine = np.frombuffer(x[r]["sh"], _U)
                 who = np.flatnonzero(can[r])
@@ -193,31 +263,71 @@ def _compare(batches):
                 at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
                 ends = np.cumsum(ny[who] / 8).astype(np.int64)
                 both = np.add.reduceat((mine[at] == theirs).astype(np.int64), ends - (ny[who] / 8).astype(np.int64))
-                for c, n in zip(who[both >= THRESHOLD * (len(mine) + ny[who] / 8 - both)], both):
+                for c in who[both >= THRESHOLD * (len(mine) + ny[who] / 8 - both)]:
                     out.append(sorted((x[r]["key"], y[c]["key"])))
         yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
 
+def _facing(at: DataFrame, values: DataFrame, cols: list[str], steps: Steps) -> DataFrame:
+    """``(bucket, x, y)``: each block of a bucket's members outside its largest class with each of its blocks.
+    Blocks are balanced by hash and kept as the step ``held``."""
+    part = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / BLOCK))
+    held = at.join(values, "key").groupBy("bucket", part.alias("part")).agg(
+        F.collect_list(F.struct("key", "comp", (F.col("comp") == F.col("main")).alias("main"), *cols)).alias("y"))
+    held = steps.keep("held", held.select("bucket", "y"))
+    open_ = held.select("bucket", F.filter("y", lambda m: ~m["main"]).alias("x")).filter(F.size("x") > 0)
+    return open_.join(held, "bucket").select("bucket", "x", "y")
+
+
 def _links_left(docs: DataFrame, nodes: DataFrame, members: DataFrame, comps: DataFrame, doc_id: str,
-                text: str) -> DataFrame:
+                text: str, steps: Steps) -> DataFrame:
     """Links across classes inside buckets, checkpointed."""
     at = members.select("bucket", "key").join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
-    at = cut_lineage(at.select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
+    at = steps.keep("at", at.select("bucket", "key", F.coalesce("comp", "key").alias("comp")))
     size = at.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     split = size.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"),
                                        F.sum("c").alias("size"))
     split = cut_lineage(split.filter("comps > 1").select("bucket", F.col("m.comp").alias("main"), "size"))
-    at = cut_lineage(join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner"))
-    sets = map_texts(_texts(docs, nodes, at.select("key"), doc_id, text), ["key"], "_text", _shingle_bytes, "sh binary")
-    sets = cut_lineage(sets.dropDuplicates(["key"]).join(nodes.select("key", "sig"), "key"))
-    # a text's set goes to each of its open buckets once; blocks are balanced by hash
-    part = F.pmod(F.xxhash64("key", "bucket"), F.ceil(F.col("size") / BLOCK))
-    held = at.join(sets, "key").groupBy("bucket", part.alias("part")).agg(
-        F.collect_list(F.struct("key", "comp", (F.col("comp") == F.col("main")).alias("main"), "sig", "sh")).alias("y"))
-    held = cut_lineage(held)
-    open_ = held.select("bucket", F.filter("y", lambda m: ~m["main"]).alias("x")).filter(F.size("x") > 0)
-    both = open_.join(held, "bucket")
-    return cut_lineage(both.select("x", "y").mapInArrow(_compare, "a bigint, b bigint").distinct())
+    mixed = steps.keep("mixed", join_groups(at, split, "bucket", "size", max(1, at.count()), ["key"], how="inner"))
+    del at, size, split
+    steps.drop("at")
+    # by signatures first: only members with a likely partner bring their sets into the buckets
+    facing = _facing(mixed, nodes.select("key", "sig"), ["sig"], steps)
+    likely = cut_lineage(facing.mapInArrow(_meeting, "bucket bigint, key bigint").distinct())
+    del facing
+    steps.drop("held")
+    few = steps.keep("few", mixed.join(likely, ["bucket", "key"], "left_semi"))
+    del mixed, likely
+    steps.drop("mixed")
+    sets = _sets(docs, nodes, few.select("key"), doc_id, text).join(nodes.select("key", "sig"), "key")
+    facing = _facing(few, steps.keep("sets", sets), ["sig", "sh"], steps)
+    out = cut_lineage(facing.mapInArrow(_compare, "a bigint, b bigint").distinct())
+    del facing, sets, few
+    steps.drop("held", "sets", "few")
+    return out
+
+
+def _star(members: DataFrame) -> DataFrame:
+    """``(hub, size, key)``: each member of a bucket with the bucket's hub."""
+    hubs = members.filter("first").select("bucket", F.col("key").alias("hub"), "size")
+    star = join_groups(members.filter("not first").select("bucket", "key"), hubs, "bucket", "size",
+                       max(1, members.count()), ["key"], how="inner")
+    return star.groupBy("hub", "key").agg(F.max("size").alias("size")).select("hub", "size", "key")
+
+
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one class yet. Hubs of many members are broadcast with their class."""
+    of = comps.select("node", "comp")
+    sides = pairs.join(of.select(F.col("node").alias("key"), F.col("comp").alias("mine")), "key", "left")
+    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
+    hubs = hubs.join(of.select(F.col("node").alias("hub"), F.col("comp").alias("theirs")), "hub")
+    sides = join_groups(sides, cut_lineage(hubs), "hub", "n", max(1, pairs.count()), ["key"])
+    return sides.filter(~F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))).select("hub", "size", "key")
+
+
+def _stars(comps: DataFrame) -> DataFrame:
+    """Classes as links: they are stars already, and a few rounds join them."""
+    return comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,36 +336,43 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     comparison needed are not among them) and kept (one document of each class)."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    steps = Steps(spark, "near")
     docs = docs.select(doc_id, text)
     rows = map_texts(docs.select(id_or_lowest(F.col(doc_id)).alias("id"), F.col(doc_id).isNull().alias("no_id"), text),
                      ["id", "no_id"], text, describe, "key bigint, n bigint, bands array<bigint>, sig binary")
-    rows = cut_lineage(rows)
+    full = steps.keep("full", rows)
+    rows = cut_lineage(full.select("id", "no_id", "key"))
     first = rows.groupBy("key").agg(F.min(F.struct("no_id", "id")).alias("f"), F.count(F.lit(1)).alias("copies"))
     nodes = first.select("key", F.col("f.id").alias("rep"), F.col("f.no_id").alias("no_id"), "copies")
-    what = rows.join(nodes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
-    nodes = cut_lineage(nodes.join(what.select("key", "n", "bands", "sig"), "key"))
+    what = full.join(nodes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["key"])
+    nodes = steps.keep("nodes", nodes.join(what.select("key", "bands", "sig"), "key"))
+    del full, what, first
+    steps.drop("full")
 
-    bands = nodes.select(F.explode("bands").alias("bucket"), "key")
+    bands = nodes.select(F.posexplode("bands").alias("band", "bucket"), "key")
     bands = bands.withColumn("turn", F.xxhash64("bucket", "key"))
     shared = bands.groupBy("bucket").agg(F.min("turn").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = cut_lineage(bands.join(shared, "bucket").select(
-        "bucket", "key", "size", (F.col("turn") == F.col("least")).alias("first")))
-    hubs = members.filter("first").select("bucket", F.col("key").alias("hub"), "size")
-    star = join_groups(members.filter("not first").select("bucket", "key"), hubs, "bucket", "size",
-                       max(1, members.count()), ["key"], how="inner")
-    star = star.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    links = verified(docs, nodes, star, doc_id, text)
-    del bands, shared, hubs, star
-    drop_unused(spark)
+    shared = steps.keep("shared", shared)
+    members = join_groups(bands, shared, "bucket", "size", max(1, BANDS * nodes.count()), ["key"], how="inner")
+    members = steps.keep("members", members.select(
+        "band", "bucket", "key", "size", (F.col("turn") == F.col("least")).alias("first")))
+    del bands, shared
+    steps.drop("shared")
+
+    # most members of a class meet in the first bands; of the others only pairs across classes are left
+    links = verified(docs, nodes, _star(members.filter(F.col("band") < FIRST_BANDS)), doc_id, text, steps)
     comps = cut_lineage(components(links))
+    rest = cut_lineage(_across(_star(members.filter(F.col("band") >= FIRST_BANDS)), comps))
     drop_unused(spark)
-    more = _links_left(docs, nodes, members, comps, doc_id, text)
-    del members
+    more = verified(docs, nodes, rest, doc_id, text, steps)
+    if more.take(1):
+        links, comps = cut_lineage(links.union(more).distinct()), cut_lineage(components(_stars(comps).union(more)))
     drop_unused(spark)
+    more = _links_left(docs, nodes, members, comps, doc_id, text, steps)
+    del members, rest
+    steps.drop("members")
     if more.take(1):
-        links = cut_lineage(links.union(more).distinct())
-        # the classes so far are stars already: a few rounds join them
-        comps = cut_lineage(components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more)))
+        links, comps = cut_lineage(links.union(more).distinct()), cut_lineage(components(_stars(comps).union(more)))
 
     ends = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(
         F.count(F.lit(1)).alias("n_verified"))
@@ -267,6 +384,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                                       F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
     texts = join_groups(texts, cut_lineage(whole), "comp", "class_size", max(1, rows.count()), ["key"])
     texts = cut_lineage(texts.select("key", "copies", "n_verified", "class_size", "head"))
+    del nodes
+    steps.drop("nodes")
     # rows that repeat id and text are alike: their number is enough
     same = rows.groupBy("key", "id", "no_id").agg(F.count(F.lit(1)).alias("times"))
     out = join_groups(same, texts, "key", "copies", max(1, rows.count()), ["id"])
