@@ -8,6 +8,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,11 +209,21 @@ def test_certified_cutoffs_hold_their_risk(spark):
     assert out.filter("size(failed) > 0").count() > 0 and rejected <= 0.1 * good.count()
 
 
+def probability_jaccard(x, y):
+    every = sorted(set(x) | set(y))
+    vx, vy = (np.array([v.get(s, 0.0) for s in every]) for v in (x, y))
+    both = np.flatnonzero((vx > 0) & (vy > 0))
+    if max(vx.max(), vy.max()) == 1.0:
+        return len(both) / len(every)
+    return sum(1 / np.maximum(vx / vx[i], vy / vy[i]).sum() for i in both)
+
+
 def near_truth(rows):
     sets = []
     for _, t in rows:
         w = WORD.findall(t)
-        sets.append(frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([("s", *w)] if w else []))
+        runs = [tuple(w[k:k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [("s", *w)] if w else []
+        sets.append({x: 1 + math.log(n) for x, n in collections.Counter(runs).items()})
     parent = list(range(len(rows)))
 
     def find(x):
@@ -227,7 +238,7 @@ def near_truth(rows):
     empty = [i for i, s in enumerate(sets) if not s]
     pairs = {(a, b) for v in index.values() for a, b in itertools.combinations(sorted(v), 2)} | {(empty[0], b) for b in empty[1:]}
     for a, b in pairs:
-        if not sets[a] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+        if not sets[a] or probability_jaccard(sets[a], sets[b]) >= 0.8 - 1e-9:
             parent[find(a)] = find(b)
     out = collections.defaultdict(list)
     for i in range(len(rows)):

@@ -1,12 +1,12 @@
 """Near dedup with ProbMinHash: signatures, banding, verification, classes.
 
 Words are runs without white space; a text's elements are its distinct runs of
-``SHINGLE`` words (a shorter text is one element). All weigh the same, however often a
-text repeats them, as in the similarity that pairs are held to. Each element is a Poisson
-process of rate 1; arrivals fall on one of ``SIZE`` components, and a component keeps the
-element that arrives first. A process stops when it is later than all components' arrivals.
-Two texts agree on a component with their probability Jaccard similarity, which at equal
-weights is the Jaccard similarity of the sets.
+``SHINGLE`` words (a shorter text is one element), an element that occurs c times weighing
+1 + ln c. Each element is a Poisson process with its weight as rate; arrivals fall on one of
+``SIZE`` components, and a component keeps the element that arrives first. A process stops
+when it is later than all components' arrivals. Two texts agree on a component with their
+probability Jaccard similarity (``likeness``), whatever the scale of either's weights; without
+repeated elements it is the Jaccard similarity of the sets. Pairs are held to the same measure.
 
 1. Each distinct text (64-bit hash of its words) gets a signature and ``BANDS`` band hashes,
    in Arrow blocks with numpy. Copies are grouped first and take part once.
@@ -15,8 +15,8 @@ weights is the Jaccard similarity of the sets.
    As every bucket has its own, texts of a large group meet many of them. Pairs of
    ``FIRST_BANDS`` bands come first; of the others those whose ends are not in one class by then.
 3. Pairs are verified: equal components first (a pair that the signatures put below
-   ``LOOSE`` is 5 standard errors under the threshold), then exactly, the Jaccard
-   similarity of the sets of shingles being ``THRESHOLD`` or more. Hubs meet their members in
+   ``LOOSE`` is 5 standard errors under the threshold), then exactly, the
+   probability Jaccard similarity being ``THRESHOLD`` or more. Hubs meet their members in
    blocks, so a hub's signature or set travels once for ``BLOCK`` members.
 4. Links join texts to classes (connected components). Members of a bucket that are in
    another class than most of it are then compared with the bucket's members of other
@@ -60,8 +60,8 @@ FIRST_BANDS = 4
 _U = np.uint64
 
 
-def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles and their texts' numbers; word hashes and where each text's start."""
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, their texts' numbers and how often each occurs there; word hashes and where each text's start."""
     hashed, offsets = ngrams.words(texts)
     shingle, own = ngrams.runs(hashed, offsets, SHINGLE)
     n = np.diff(offsets)
@@ -75,10 +75,34 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     new = np.ones(len(order), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (own[1:] != own[:-1])
     at = np.flatnonzero(new)
-    return shingle[at], own[at], hashed, offsets
+    times = np.diff(np.append(at, len(order))) if len(order) else at
+    return shingle[at], own[at], times, hashed, offsets
 
 
-def signatures(shingle: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+def weights(times: np.ndarray) -> np.ndarray:
+    """The weight of an element that occurs so many times."""
+    return 1.0 + np.log(times)
+
+
+def likeness(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> float:
+    """Probability Jaccard similarity: over the common elements i, the sum of
+    1 / sum over all j of max(wx_j / wx_i, wy_j / wy_i). ``x`` and ``y`` hold each element once.
+
+    The maximum is the second term for the j whose ratio wy / wx is above that of i, so with the
+    common elements in order of their ratios the inner sums are running sums.
+    """
+    if not len(x) and not len(y):
+        return 1.0
+    _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    cx, cy = wx[ix], wy[iy]
+    order = np.argsort(cy / cx, kind="stable")
+    cx, cy = cx[order], cy[order]
+    up_to = wx.sum() - cx.sum() + np.cumsum(cx)
+    above = wy.sum() - np.cumsum(cy)
+    return float((1.0 / (up_to / cx + above / cy)).sum())
+
+
+def signatures(shingle: np.ndarray, own: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
     """Rows x SIZE: the element that arrives first at each component (0 for no elements)."""
     best, first = np.full(rows * SIZE, np.inf), np.zeros(rows * SIZE, _U)
     now, live, done = np.zeros(len(shingle)), np.arange(len(shingle)), 0
@@ -89,7 +113,7 @@ def signatures(shingle: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
             seed = (np.arange(done + 1, done + steps + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))[None, :]
             x = ngrams.mix(shingle[live][:, None] + seed)
             slot = ((ngrams.mix(x + _U(1)) >> _U(32)) * _U(SIZE) >> _U(32)).astype(np.int64)
-        gap = -np.log(((x >> _U(11)).astype(float) + 0.5) * 2.0 ** -53)
+        gap = -np.log(((x >> _U(11)).astype(float) + 0.5) * 2.0 ** -53) / weight[live][:, None]
         when = now[live][:, None] + np.cumsum(gap, axis=1)
         now[live] = when[:, -1]
         slot += own[live][:, None] * SIZE
@@ -107,8 +131,8 @@ def signatures(shingle: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
 
 def describe(texts: list[str]) -> dict[str, pa.Array]:
     """``key`` (hash of the words), ``n`` (distinct shingles), ``bands`` and ``sig`` (a byte a component)."""
-    shingle, own, hashed, offsets = elements(texts)
-    sig = signatures(shingle, own, len(texts))
+    shingle, own, times, hashed, offsets = elements(texts)
+    sig = signatures(shingle, own, weights(times), len(texts))
     value = np.tile(np.arange(1, BANDS + 1, dtype=_U), (len(texts), 1))
     for j in range(ROWS):
         with np.errstate(over="ignore"):
@@ -144,7 +168,7 @@ def _likely(batches):
 
 
 def _similar(batches):
-    """The pairs of a hub and a block's members whose sets of shingles have ``THRESHOLD`` Jaccard similarity or more."""
+    """The pairs of a hub and a block's members that are ``THRESHOLD`` similar or more."""
     for batch in batches:
         a, b = [], []
         for i in range(batch.num_rows):
@@ -152,13 +176,9 @@ def _similar(batches):
             hub = next((m for m in members if m["own"]), None)
             if hub is None:
                 continue
-            x = np.frombuffer(hub["sh"], _U)
+            x = _weighted(hub["sh"])
             for m in members:
-                if m["own"]:
-                    continue
-                y = np.frombuffer(m["sh"], _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= THRESHOLD * (len(x) + len(y) - both):
+                if not m["own"] and _is_near(x, _weighted(m["sh"])):
                     a.append(min(hub["key"], m["key"]))
                     b.append(max(hub["key"], m["key"]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -222,9 +242,22 @@ def _texts(docs: DataFrame, nodes: DataFrame, keys: DataFrame, doc_id: str, text
 
 
 def _shingle_bytes(texts: list[str]) -> dict[str, pa.Array]:
-    shingle, own, _, _ = elements(texts)
+    """Each text's shingles in order (8 bytes each), then how often they occur (4 bytes each)."""
+    shingle, own, times, _, _ = elements(texts)
     at = np.searchsorted(own, np.arange(len(texts) + 1))
-    return {"sh": pa.array([shingle[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())}
+    times = times.astype(np.uint32)
+    return {"sh": pa.array([shingle[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())}
+
+
+def _weighted(sh: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and weights as ``_shingle_bytes`` packs them."""
+    n = len(sh) // 12
+    return np.frombuffer(sh, _U, n), weights(np.frombuffer(sh, np.uint32, n, 8 * n))
+
+
+def _is_near(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    # a sum of fractions may miss a threshold that it meets exactly by some last bits
+    return likeness(*x, *y) >= THRESHOLD - 1e-9
 
 
 def _can_be(x: list[dict], y: list[dict]) -> np.ndarray:
@@ -254,17 +287,11 @@ def _compare(batches):
         out = []
         for i in range(batch.num_rows):
             x, y = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-            nx, ny = (np.array([len(m["sh"]) for m in side], float) for side in (x, y))
-            can = _can_be(x, y) & (nx[:, None] >= THRESHOLD * ny) & (ny >= THRESHOLD * nx[:, None])
+            can = _can_be(x, y)
+            theirs = {c: _weighted(y[c]["sh"]) for c in np.flatnonzero(can.any(axis=0))}
             for r in np.flatnonzero(can.any(axis=1)):
-                mine = np.frombuffer(x[r]["sh"], _U)
-                who = np.flatnonzero(can[r])
-                theirs = np.frombuffer(b"".join(y[c]["sh"] for c in who), _U)
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                ends = np.cumsum(ny[who] / 8).astype(np.int64)
-                both = np.add.reduceat((mine[at] == theirs).astype(np.int64), ends - (ny[who] / 8).astype(np.int64))
-                for c in who[both >= THRESHOLD * (len(mine) + ny[who] / 8 - both)]:
-                    out.append(sorted((x[r]["key"], y[c]["key"])))
+                mine = _weighted(x[r]["sh"])
+                out += [sorted((x[r]["key"], y[c]["key"])) for c in np.flatnonzero(can[r]) if _is_near(mine, theirs[c])]
         yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
 
