@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.operators.checkin import split_valid, validation_errors, with_scales, with_score
+from wellspring.sources import views as V
 
 COLS = ("checkin_id long, physical_worn_down int, pain_soreness int, mentally_drained int, "
         "sleep_quality int, work_stress int, shift_safety_energy string, time_available_min int, "
@@ -60,3 +61,20 @@ def test_partial_scale_and_validation(spark):
     s = df.transform(with_scales()).first().bat12_scores
     assert s.subscales["exhaustion"].raw_mean == pytest.approx(3.0) and s.subscales["exhaustion"].n_items == 2
     assert s.subscales["mental_distance"].raw_mean is None
+
+
+def test_a_filter_on_errors_makes_each_answer_map_a_few_times_only(spark):
+    rows = [(i, i + 7, None) for i in range(40)]
+    checkins = V.checkin_projection(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"))
+    valid, bad = split_valid(checkins)
+    plan = valid.select("checkin_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("map_from_entries(") <= 4  # the filter below the projection has one for each set of answers
+    want = {i: [f"Missing BAT-12 item: bat{k}" for k in range(1, 13) if (i + k) % 17 == 0]
+            + [f"Missing OLBI item: olbi{k}" for k in range(1, 17) if (i + k) % 19 == 0] for i, _, _ in rows}
+    assert {r.checkin_id for r in valid.collect()} == {i for i, e in want.items() if not e}
+    assert {r.checkin_id: r.errors for r in bad.collect()} == {i: e for i, e in want.items() if e}
+
+
+def test_scale_values_out_of_range_and_null(spark):
+    df = _frame(spark, [(1, 1, 0, 0, 10, 0, "yes", 5, "home", {"bat1": 9, "bat2": None, **{f"bat{i}": 3 for i in range(3, 13)}}, None)])
+    assert df.select(validation_errors(df).alias("e")).first().e == ["bat1 must be 1-5, got 9", "bat2 must be 1-5, got None"]

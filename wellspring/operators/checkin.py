@@ -88,18 +88,20 @@ def validation_errors(df: DataFrame) -> Column:
 
 
 def _scale_errors(map_col: str, prefix: str, n: int, rng: tuple, label: str) -> Column:
-    m = F.col(map_col)
     lo, hi = rng
-
-    def item_error(i):
-        key = F.concat(F.lit(prefix), i.cast("string"))
-        v = F.try_element_at(m, key)
-        present = F.array_contains(F.map_keys(m), key)
-        return (F.when(~present, F.concat(F.lit(f"Missing {label} item: "), key))
-                 .when(v.isNull() | (v < lo) | (v > hi),
-                       F.concat(key, F.lit(f" must be {lo}-{hi}, got "), F.coalesce(v.cast("string"), F.lit("None")))))
-    errs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n)), item_error), lambda e: e.isNotNull())
-    return F.when(m.isNull(), F.array().cast("array<string>")).otherwise(errs)
+    none = F.array().cast("array<string>")
+
+    def errors(m: Column) -> Column:
+        def item_error(key):
+            v = F.try_element_at(m, key)
+            return (F.when(v.between(lo, hi), F.lit(None))
+                     .when(~F.map_contains_key(m, key), F.concat(F.lit(f"Missing {label} item: "), key))
+                     .otherwise(F.concat(key, F.lit(f" must be {lo}-{hi}, got "), F.coalesce(v.cast("string"), F.lit("None")))))
+        keys = F.array(*[F.lit(f"{prefix}{i}") for i in range(1, n + 1)])
+        return F.when(m.isNull(), none).otherwise(F.filter(F.transform(keys, item_error), lambda e: e.isNotNull()))
+    # bound by a lambda: a filter on the errors goes below the projection that makes the map, which
+    # then takes the map's place and, named in the items' lambda, would be worked out for each item
+    return F.transform(F.array(F.col(map_col)), errors)[0]
 
 
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
