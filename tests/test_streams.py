@@ -114,3 +114,21 @@ def test_strain_windows_over_two_batches(spark):
     last = ST.latest_updates(spark.read.parquet(path), ["win", "setting", "shift"])
     got = {(r.win.start, r.shift): (r.avg_score, r.checkins) for r in last.collect()}
     assert got == {(day(0), "morning"): (20.0, 2), (day(0), "evening"): (50.0, 1), (day(3), "morning"): (90.0, 1)}
+
+
+def test_one_file_of_events_is_dealt_to_all_cores_and_the_sink_holds_no_rows(spark):
+    events = spark.range(0, 1000, 1, 1).select(
+        F.col("id").alias("event_id"), F.lit(DAY).alias("ts"), (F.col("id") % 9).alias("user_id"), F.lit("x").alias("event_type"))
+    checkins = ST.spread_checkins(events)
+    assert checkins.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.checkin_id for r in checkins.select("checkin_id").collect()) == list(range(1000))
+    base = ST.stream_dir(spark, f"test_{uuid.uuid4().hex[:8]}")
+    stored = spark.sparkContext._jsc.getPersistentRDDs().size()
+    persist = type(checkins).persist
+    try:
+        type(checkins).persist = lambda *_: pytest.fail("rows with their answers are held in memory")
+        ST.quarantine_sink(f"{base}/scored", f"{base}/bad")(checkins, 0)
+    finally:
+        type(checkins).persist = persist
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == stored
+    assert sum(spark.read.parquet(f"{base}/{part}").count() for part in ("scored", "bad")) == 1000

@@ -53,7 +53,7 @@ FROM scored WHERE checkin_id NOT IN (SELECT checkin_id FROM bad)"""
 # ------------------------------------------------------ quarantine (STR1)
 def q_stream_quarantine(spark: SparkSession, data_dir: str) -> DataFrame:
     """STR1: one stream, two sinks: every event ends up scored or in quarantine with its errors."""
-    checkins = V.checkin_projection(event_stream(spark, data_dir))
+    checkins = ST.spread_checkins(event_stream(spark, data_dir))
     scored, bad = ST.drain_with_quarantine(checkins, _name("stream_quarantine"))
     good = spark.read.parquet(scored).select("checkin_id", F.lit("scored").alias("outcome"), F.round("score", R).alias("score"),
                                              F.lit("").alias("errors"))

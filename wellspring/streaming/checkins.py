@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.checkin import split_valid, validation_errors, with_score
+from ..operators.checkin import split_valid, with_score
 from ..session import ensure_checkpoint_dir
 from ..sources.views import checkin_projection
 
@@ -36,9 +36,16 @@ def event_stream(spark: SparkSession, data_dir: str, max_files: int | None = Non
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def spread_checkins(events: DataFrame) -> DataFrame:
+    """The check-ins of an event stream, dealt to all cores: the three columns that they are made from
+    are shuffled, as a file of one row group is one task however many events it has."""
+    parts = 2 * events.sparkSession.sparkContext.defaultParallelism
+    return checkin_projection(events.select("event_id", "user_id", "ts").repartition(parts))
+
+
 def scored_stream(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """STR1: (valid scored check-ins, quarantine) from an event stream."""
-    valid, bad = split_valid(checkin_projection(events))
+    valid, bad = split_valid(spread_checkins(events))
     return valid.transform(with_score()), bad
 
 
@@ -162,17 +169,14 @@ def _drain(df: DataFrame, name: str, sink: Callable[[DataFrame, int], None], mod
 
 
 def quarantine_sink(scored_path: str, quarantine_path: str) -> Callable[[DataFrame, int], None]:
-    """STR1: a ``foreachBatch`` sink that validates once and writes valid, scored rows and rows with
+    """STR1: a ``foreachBatch`` sink that validates and writes valid, scored rows and rows with
     ``errors`` to two folders. Each batch overwrites its own sub-folders, so a repeated batch leaves
-    the same rows. The checked batch is kept until both are written."""
+    the same rows. Both writes read the batch: its rows depend on the source's files alone, a shuffle
+    before the sink is kept, and rows with their answer maps, over a KB each, are not held between them."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = batch.withColumn("errors", validation_errors(batch)).persist()
-        try:
-            good = checked.filter(F.size("errors") == 0).drop("errors").transform(with_score())
-            good.write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
-            checked.filter(F.size("errors") > 0).write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
-        finally:
-            checked.unpersist()
+        good, bad = split_valid(batch)
+        good.transform(with_score()).write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
     return write
 
 
