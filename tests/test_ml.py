@@ -1,10 +1,15 @@
 """Topic fits: nearest centroid, best k, repeatable seeds."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wellspring.operators import clustering
 from wellspring.operators.clustering import assign, fit_kmeans, select_k
+from wellspring.operators.topics import silhouette
+from wellspring.plans import registered_ml, registry
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +35,37 @@ def test_best_k_has_the_highest_silhouette(points):
     assert k == 3 and scores[3] > scores[2] and 99 not in scores
     few = points.filter(F.col("id") < 2)
     assert select_k(few, (5, 7), restarts=1, max_iter=5) == (5, {})
+
+
+def test_fits_run_side_by_side_and_keep_their_order(spark, points):
+    meet = threading.Barrier(2, timeout=30)  # passes only if two fits are under way at once
+    assert clustering._side_by_side(spark, lambda r: (meet.wait() >= 0, r), range(4)) == [(True, r) for r in range(4)]
+    assert clustering._side_by_side(spark, lambda r: r, []) == []
+    costs = [fit_kmeans(points, 3, seed=42 + r, restarts=1, max_iter=3).summary.trainingCost for r in range(4)]
+    best = fit_kmeans(points, 3, restarts=4, max_iter=3).summary.trainingCost
+    assert best == pytest.approx(min(costs))
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("query, step", [("kmeans_topics", "select_k")])
+def test_fits_read_a_checkpoint_not_the_joined_tables(spark, monkeypatch, query, step):
+    def seen(df, *_):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        raise Stop(plan)
+    monkeypatch.setattr(registered_ml, step, seen)
+    with pytest.raises(Stop) as plan:
+        registry.queries()[query](spark, "/root/testdata/sf0.001")
+    assert "Join" not in str(plan.value) and "parquet" not in str(plan.value)
+
+
+def test_silhouette_sums_over_the_clusters_once_a_row(spark, points):
+    rows = silhouette(points.withColumn("cluster_id", F.col("id") % 3))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("zip_with(") == 1
+    one = rows.filter("id = 4").first()
+    x, data = np.array(one.embedding), [(r.id % 3, np.array(r.embedding)) for r in points.collect()]
+    mean = {c: sum(((x - y) ** 2).sum() for d, y in data if d == c) / (19 if c == 1 else 20) for c in range(3)}
+    b = min(mean[0], mean[2])
+    assert one.silhouette == pytest.approx((b - mean[1]) / max(mean[1], b)) and rows.columns[-1] == "silhouette"

@@ -9,7 +9,8 @@ silhouette of ``topics.silhouette`` on the whole input (no pair sampling).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from multiprocessing.pool import ThreadPool
+from typing import Callable, Sequence
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans
@@ -17,25 +18,35 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..session import cut_lineage
 from .topics import silhouette
 
 K_VALUES = (10, 15, 20, 30)
+#: Fits that run at a time. Their many short jobs fill the cores together; each holds its rows in Spark's cache.
+PARALLEL = 5
+
+
+def _side_by_side(spark: SparkSession, fit: Callable, items: Sequence) -> list:
+    """``fit`` of each item, in the order of the items; ``PARALLEL`` at a time, as MLlib's ``CrossValidator`` does."""
+    if not items:
+        return []
+    with ThreadPool(min(PARALLEL, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), items, chunksize=1)
 
 
 def fit_kmeans(df: DataFrame, k: int, emb_col: str = "embedding", seed: int = 42,
                restarts: int = 10, max_iter: int = 300):
-    """ML4: best of ``restarts`` seeded fits by training cost."""
-    data = df.withColumn("_features", array_to_vector(F.col(emb_col)))
-    best = None
-    for r in range(restarts):
+    """ML4: best of ``restarts`` seeded fits by training cost (ties: the first). Each fit reads ``df``:
+    cut the lineage of an expensive one first."""
+    data = df.select(array_to_vector(F.col(emb_col)).alias("_features"))
+
+    def fit(r: int):
         model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_features",
                        predictionCol="cluster_id", initMode="k-means||").fit(data)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best[0]
+        return model, model.summary.trainingCost
+    return min(_side_by_side(df.sparkSession, fit, range(restarts)), key=lambda fitted: fitted[1])[0]
 
 
 def assign(df: DataFrame, model, emb_col: str = "embedding") -> DataFrame:

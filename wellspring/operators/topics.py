@@ -135,14 +135,15 @@ def silhouette(df: DataFrame, emb_col: str = "embedding", cluster_col: str = "cl
     per = F.transform(F.col("_stats"), lambda c: F.struct(
         c["cid"].alias("cid"), c["n"].alias("n"),
         (c["n"] * xn - 2 * dot(x, c["s"]) + c["q"]).alias("sumd")))
-    own = F.element_at(F.filter(per, lambda p: p["cid"] == F.col(cluster_col)), 1)
-    others = F.transform(F.filter(per, lambda p: p["cid"] != F.col(cluster_col)), lambda p: p["sumd"] / p["n"])
-    a = own["sumd"] / (own["n"] - 1)
-    b = F.array_min(others)
+    mine = F.element_at(F.filter("_per", lambda p: p["cid"] == F.col(cluster_col)), 1)
+    others = F.transform(F.filter("_per", lambda p: p["cid"] != F.col(cluster_col)), lambda p: p["sumd"] / p["n"])
+    own, a, b = F.col("_own"), F.col("_own.sumd") / (F.col("_own.n") - 1), F.col("_b")
     s = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
     # the statistics array enters as a column (a scalar subquery, evaluated
-    # once); subqueries cannot sit inside the lambdas themselves
-    return df.withColumn("_stats", arr).withColumn("silhouette", s).drop("_stats")
+    # once); subqueries cannot sit inside the lambdas themselves. Steps are
+    # columns, so that a row's sums over all clusters are worked out once
+    return (df.withColumn("_stats", arr).withColumn("_per", per).withColumns({"_own": mine, "_b": F.array_min(others)})
+              .withColumn("silhouette", s).drop("_stats", "_per", "_own", "_b"))
 
 
 def cluster_report(df: DataFrame, labels: DataFrame | None = None, sil: float | None = None,

@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from ..operators.clustering import (K_VALUES, TextClassifier, assemble_features, assign, fit_kmeans, predict, select_k,
                                     train_one_vs_rest)
 from ..operators.sentiment import label_table
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import views as V
 from ..sources.tables import read_table
 from .registered_corpus import FIXTURE_THEMES, fixture_lexicon
 
 
 def q_kmeans_topics(spark: SparkSession, data_dir: str) -> DataFrame:
-    """ML2 + ML4 over the whole embeddings table: choose k, refit, assign."""
-    emb = V.embedded_corpus(spark, data_dir).select("id", "embedding")
+    """ML2 + ML4 over the whole embeddings table: choose k, refit, assign. The fits read a checkpoint."""
+    emb = cut_lineage(V.embedded_corpus(spark, data_dir).select("id", "embedding"))
     k, _scores = select_k(emb, K_VALUES)
     model = fit_kmeans(emb, k)
     return assign(emb, model).select("id", F.col("cluster_id").cast("int").alias("cluster_id"),
