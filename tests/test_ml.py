@@ -50,7 +50,7 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("query, step", [("kmeans_topics", "select_k")])
+@pytest.mark.parametrize("query, step", [("kmeans_topics", "select_k"), ("sentiment_classifier", "train_one_vs_rest")])
 def test_fits_read_a_checkpoint_not_the_joined_tables(spark, monkeypatch, query, step):
     def seen(df, *_):
         plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -82,13 +82,13 @@ def assemble_features(df: DataFrame, emb_col: str, meta_cols: Sequence[str], out
 
 def train_one_vs_rest(df: DataFrame, label_col: str, classes: Sequence[str], features: str = "features",
                       n_trees: int = 200, depth: int = 5, rate: float = 0.1, seed: int = 42) -> dict:
-    """ML12: one binary boosted-tree model per class (GBTClassifier is binary)."""
-    models = {}
-    for c in classes:
-        data = df.withColumn("_y", (F.col(label_col) == c).cast("double"))
-        models[c] = GBTClassifier(featuresCol=features, labelCol="_y", maxIter=n_trees, maxDepth=depth,
-                                  stepSize=rate, seed=seed).fit(data)
-    return models
+    """ML12: one binary boosted-tree model per class (GBTClassifier is binary). Each fit reads ``df``:
+    cut the lineage of an expensive one first."""
+    def fit(c: str):
+        data = df.select(features, (F.col(label_col) == c).cast("double").alias("_y"))
+        return GBTClassifier(featuresCol=features, labelCol="_y", maxIter=n_trees, maxDepth=depth,
+                             stepSize=rate, seed=seed).fit(data)
+    return dict(zip(classes, _side_by_side(df.sparkSession, fit, classes)))
 
 
 def predict(df: DataFrame, models: dict, features: str = "features") -> DataFrame:

@@ -39,6 +39,7 @@ def q_sentiment_classifier(spark: SparkSession, data_dir: str) -> DataFrame:
     lab = ec.transform(label_table(fixture_lexicon(spark), FIXTURE_THEMES))
     meta = ["polarity", "subjectivity", "word_count", *[f"{t}_keywords" for t in FIXTURE_THEMES]]
     feats = assemble_features(lab.select("id", "embedding", "sentiment_label", *meta), "embedding", meta)
+    feats = cut_lineage(feats.select("id", "sentiment_label", "features"))  # the fits of all classes read it
     classes = sorted(r[0] for r in feats.select("sentiment_label").distinct().collect())
     models = train_one_vs_rest(feats, "sentiment_label", classes)
     out = predict(feats, models)
