@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from wellspring.llm import near_dedup
 
@@ -75,3 +76,26 @@ def test_verified_pairs_are_named_so(spark):
     assert "n_links" not in out.columns
     got = out.collect()
     assert len({r.class_id for r in got}) == 1 and all(1 <= r.n_verified < len(rows) for r in got)
+
+
+def test_a_member_that_meets_many_blocks_is_told_once():
+    def block(first, comp):
+        return [{"key": first + k, "comp": comp, "main": comp == 0, "sig": bytes(near_dedup.SIZE)} for k in range(4)]
+    x, blocks = block(0, 1), [block(10 * b, 0) for b in range(1, 21)]
+    member = pa.struct([("key", pa.int64()), ("comp", pa.int64()), ("main", pa.bool_()), ("sig", pa.binary())])
+    rows = [pa.RecordBatch.from_arrays([pa.array([5] * 2), pa.array([x] * 2, pa.list_(member)), pa.array(blocks[b:b + 2], pa.list_(member))],
+                                       names=["bucket", "x", "y"]) for b in range(0, 20, 2)]
+    told = [(r["bucket"], r["key"]) for out in near_dedup._meeting(iter(rows)) for r in out.to_pylist()]
+    assert sorted(told) == [(5, k) for k in range(4)] + [(5, 10 * b + k) for b in range(1, 21) for k in range(4)]
+    assert not [r for out in near_dedup._meeting(iter([])) for r in out.to_pylist()]
+
+
+def test_held_members_are_told_in_parts(monkeypatch):
+    monkeypatch.setattr(near_dedup, "HELD", 3)
+    member = pa.struct([("key", pa.int64()), ("comp", pa.int64()), ("main", pa.bool_()), ("sig", pa.binary())])
+    sig = bytes(near_dedup.SIZE)
+    x = [[{"key": k, "comp": k, "main": False, "sig": sig}] for k in range(5)]
+    y = [[{"key": k + 100, "comp": 99, "main": True, "sig": sig}] for k in range(5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 5), pa.array(x, pa.list_(member)), pa.array(y, pa.list_(member))], names=["bucket", "x", "y"])
+    outs = list(near_dedup._meeting(iter([batch])))
+    assert len(outs) > 1 and {r["key"] for o in outs for r in o.to_pylist()} == {*range(5), *range(100, 105)}

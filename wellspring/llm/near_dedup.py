@@ -54,6 +54,8 @@ SIZE = BANDS * ROWS
 THRESHOLD, LOOSE = 0.8, 0.65
 #: Members of a bucket that are compared as one block.
 BLOCK = 32
+#: Members with a likely partner that a task holds, some 30 MB, before it tells them.
+HELD = 200_000
 #: Bands whose pairs are verified first; pairs of the others count only across the classes found by then.
 FIRST_BANDS = 4
 
@@ -268,17 +270,23 @@ def _can_be(x: list[dict], y: list[dict]) -> np.ndarray:
 
 
 def _meeting(batches):
-    """``(bucket, key)`` of the members of two blocks that have a likely partner in the other."""
+    """``(bucket, key)`` of the members of two blocks that have a likely partner in the other. A member meets
+    many blocks: a task holds up to ``HELD`` members and tells each of them once."""
+    def told(met):
+        rows = sorted(met)
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64()) for j in (0, 1)], names=["bucket", "key"])
+
+    met = set()
     for batch in batches:
-        buckets, keys = [], []
         for i in range(batch.num_rows):
-            x, y = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            bucket, x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
             can = _can_be(x, y)
-            met = {m["key"] for side, any_ in ((x, can.any(axis=1)), (y, can.any(axis=0)))
-                   for m, yes in zip(side, any_) if yes}
-            keys += sorted(met)
-            buckets += [batch.column(0)[i].as_py()] * len(met)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (buckets, keys)], names=["bucket", "key"])
+            met.update((bucket, m["key"]) for side, any_ in ((x, can.any(axis=1)), (y, can.any(axis=0)))
+                       for m, yes in zip(side, any_) if yes)
+            if len(met) >= HELD:
+                yield told(met)
+                met = set()
+    yield told(met)
 
 
 def _compare(batches):
