@@ -152,17 +152,20 @@ def normalize_unicode(col) -> Column:
 
 
 def clean_text(col, source_col=None, min_words: int = 3) -> Column:
-    """TXT7: source-aware cleaning; '' when fewer than ``min_words`` remain."""
+    """TXT7: source-aware cleaning; '' when fewer than ``min_words`` remain.
+
+    Each step that is used more than once is bound by a lambda, so a text is normalised and cleaned once."""
     raw = _c(col)
-    c = normalize_unicode(raw)
-    c = remove_emails(remove_urls(c))
-    if source_col is not None:
-        src = _c(source_col)
-        c = (F.when(src == "reddit", strip_markdown(c))
-              .when(src == "glassdoor", strip_review_artifacts(c))
-              .otherwise(c))
-    c = collapse_whitespace(c)
-    out = F.when(word_count(c) < min_words, F.lit("")).otherwise(c)
+
+    def cleaned(c: Column) -> Column:
+        c = remove_emails(remove_urls(c))
+        if source_col is not None:
+            src = _c(source_col)
+            c = F.transform(F.array(c), lambda t: F.when(src == "reddit", strip_markdown(t))
+                            .when(src == "glassdoor", strip_review_artifacts(t)).otherwise(t))[0]
+        return F.transform(F.array(collapse_whitespace(c)),
+                           lambda t: F.when(word_count(t) < min_words, F.lit("")).otherwise(t))[0]
+    out = F.transform(F.array(normalize_unicode(raw)), cleaned)[0]
     return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(out)
 
 

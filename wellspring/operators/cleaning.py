@@ -20,6 +20,7 @@ def clean_table(min_words: int = 10, order: Sequence[str] = ("id",), text_col: s
     NULL texts count as empty and go."""
     def op(df: DataFrame) -> DataFrame:
         source = F.col(source_col) if source_col in df.columns else None
-        out = df.withColumn(text_col, T.clean_text(F.col(text_col), source))
+        # a generator's output: the filter on it is not pushed below the cleaning, which would be done again for it
+        out = df.withColumn(text_col, F.explode_outer(F.array(T.clean_text(F.col(text_col), source))))
         return out.transform(filter_min_words(min_words, text_col)).transform(dedup_text(order, text_col))
     return op
