@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wellspring.functions import text as T
+from wellspring.operators import topics
 from wellspring.operators.cleaning import clean_table
 
 
@@ -21,3 +22,16 @@ def test_a_text_is_cleaned_once(spark):
     assert _plan(out).count(T.CLEAN_EMAIL_PATTERN) == 1
     assert {r.id: r.text for r in out.collect()} == {
         1: "one two three four", 3: "five six seven eight", 7: "nine ten **x** twelve"}
+
+
+def test_terms_are_made_once_and_large_vocabularies_are_joined(spark, monkeypatch):
+    plans, cut = [], topics.cut_lineage
+    monkeypatch.setattr(topics, "cut_lineage", lambda df: plans.append(_plan(df)) or cut(df))
+    docs = spark.createDataFrame([(str(i), i % 2, f"apple pear w{i % 3} apple") for i in range(12)] + [("x", 0, ""), ("y", 1, None)],
+                                 "id string, cluster_id int, text string")
+    def keywords():
+        return sorted((r.cluster_id, r.rank, r.term, round(r.weight, 9)) for r in topics.cluster_keywords(docs, min_df=1, max_df=1.0).collect())
+    few = keywords()
+    assert plans[0].count("regexp_extract_all") == 1
+    monkeypatch.setattr(topics, "BROADCAST_TERMS", 0)
+    assert keywords() == few and few[0][2] == "apple"

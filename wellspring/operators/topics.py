@@ -23,6 +23,8 @@ from ..session import cut_lineage
 
 # per-cluster statistics are broadcast only below this many doubles (k * d)
 MAX_BROADCAST_DOUBLES = 20_000_000
+# terms of a vocabulary that is broadcast, some 50 MB of memory
+BROADCAST_TERMS = 500_000
 
 
 def with_analyzed_terms(df: DataFrame, text_col: str = "text", out_col: str = "_terms",
@@ -48,16 +50,21 @@ def weighted_terms(docs: DataFrame, terms_col: str = "_terms", min_df: float = 3
     """TF-IDF as a long table ``(id, cluster_id, term, w)`` from ``docs(id, cluster_id, terms_col)``.
 
     Terms within the document-frequency bounds; count x (``ln((1 + n) / (1 + df)) + 1``),
-    L2-normalised by document. No limit on the vocabulary, and nothing of it is collected:
-    every step is a partial aggregation or a join. ``id`` names a document."""
+    L2-normalised by document. No limit on the vocabulary, and nothing of it is collected. ``id`` names
+    a document: documents are shuffled by it once, with their terms as an array, so that counts and norms
+    are made in place. Up to ``BROADCAST_TERMS`` terms within the bounds go to the counts, more are joined to them."""
     n_docs = docs.count()
     lo = min_df if min_df >= 1 else min_df * n_docs
     hi = max_df if (isinstance(max_df, int) or max_df > 1) else max_df * n_docs
-    counts = cut_lineage(docs.select("id", "cluster_id", F.explode(terms_col).alias("term"))
+    dealt = docs.select("id", "cluster_id", terms_col).repartition("id")
+    # explode would add a filter on the array's size, which goes below the shuffle and makes the terms once more for
+    # each of their uses; explode_outer gives a NULL for no terms
+    counts = cut_lineage(dealt.select("id", "cluster_id", F.explode_outer(terms_col).alias("term")).filter("term is not null")
                          .groupBy("id", "cluster_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df").between(lo, hi))
     idf = idf.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1.0).alias("idf"))
-    weights = counts.join(idf, "term").select("id", "cluster_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = cut_lineage(idf)
+    weights = counts.join(F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf, "term").select("id", "cluster_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weights.join(norm, "id").select("id", "cluster_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
