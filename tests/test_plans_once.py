@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wellspring.functions import text as T
 from wellspring.operators import topics
 from wellspring.operators.cleaning import clean_table
+from wellspring.operators.sentiment import contextual_compound
 
 
 def _plan(df):
@@ -35,3 +36,12 @@ def test_terms_are_made_once_and_large_vocabularies_are_joined(spark, monkeypatc
     assert plans[0].count("regexp_extract_all") == 1
     monkeypatch.setattr(topics, "BROADCAST_TERMS", 0)
     assert keywords() == few and few[0][2] == "apple"
+
+
+def test_words_in_context_are_split_once(spark):
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "word string, valence double")
+    docs = spark.createDataFrame([(1, "good good"), (2, "bad"), (3, ""), (4, None)], "id long, text string")
+    out = docs.transform(contextual_compound(lexicon, boosters={}, negations=["not"]))
+    assert _plan(out).count("regexp_extract_all") == 1
+    got = {r.id: r.compound for r in out.select("id", F.round("compound", 6).alias("compound")).collect()}
+    assert got == {1: round(4 / 31 ** 0.5, 6), 2: round(-2 / 19 ** 0.5, 6), 3: 0.0, 4: 0.0}

@@ -112,7 +112,8 @@ def contextual_compound(lexicon: DataFrame, text_col: str = "text", id_col: str
     def op(df: DataFrame) -> DataFrame:
         text = F.translate(F.coalesce(T._c(text_col), F.lit("")), "'\u2019", "")
         words = df.select(F.col(id_col).alias("_id"), word_tokens(text).alias("_words"))
-        words = words.select("_id", "_words", F.posexplode("_words").alias("_at", "_tok"))
+        # outer, as posexplode adds a filter on the array's size, for which a text would be split once more
+        words = words.select("_id", "_words", F.posexplode_outer("_words").alias("_at", "_tok")).filter("_tok is not null")
         before = [F.get("_words", F.col("_at") - k) for k in (1, 2, 3)]  # NULL before the first word
         step, turns = F.lit(0.0), F.lit(0)
         for word, fade in zip(before, BOOSTER_FADE):
