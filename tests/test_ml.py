@@ -3,12 +3,16 @@
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from wellspring.operators import clustering
+from wellspring.operators import clustering, lloyd
 from wellspring.operators.clustering import assign, fit_kmeans, select_k
-from wellspring.operators.topics import silhouette
+from wellspring.operators.topics import distance_sums, silhouette
 from wellspring.plans import registered_ml, registry
 
 
@@ -46,6 +50,57 @@ def test_fits_run_side_by_side_and_keep_their_order(spark, points):
     assert best == pytest.approx(min(costs))
 
 
+def test_each_fit_has_local_properties_of_its_own(spark):
+    meet = threading.Barrier(2, timeout=30)
+
+    def fit(r):
+        spark.sparkContext.setLocalProperty("wellspring.fit", str(r))
+        meet.wait()
+        return spark.sparkContext.getLocalProperty("wellspring.fit")
+    assert clustering._side_by_side(spark, fit, range(2)) == ["0", "1"]
+
+
+def test_all_fits_share_their_passes_and_equal_single_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id long, embedding array<double>")
+    data = data.repartition(3).cache()
+    calls = []
+    monkeypatch.setattr(clustering, "lloyd", lambda rows, starts, *a: calls.append(len(starts)) or lloyd.lloyd(rows, starts, *a))
+    select_k(data, (3, 6), restarts=4, max_iter=25)
+    assert calls == [8]  # one way through the iterations for all fits
+    vec = data.select(array_to_vector("embedding").alias("features"))
+    for k in (3, 6):
+        single = [KMeans(k=k, seed=42 + r, maxIter=25).fit(vec) for r in range(3)]
+        best = min(single, key=lambda m: m.summary.trainingCost)
+        got = fit_kmeans(data, k, restarts=3, max_iter=25)
+        np.testing.assert_allclose(np.array(got.clusterCenters()), np.array(best.clusterCenters()), atol=1e-9)
+        assert got.summary.trainingCost == pytest.approx(best.summary.trainingCost)
+        assert got.summary.numIter == best.summary.numIter
+
+
+def test_nearest_centers_are_exact_where_32_bits_cannot_tell(spark):
+    x1 = np.array([[1.0 + i * 1e-7, 1e3, 1.0] for i in range(-5, 6)])
+    centers = np.array([[[0.0, 1e3], [2.0, 1e3], [2.0, 1e3]]])
+    near = lloyd.Nearest([centers]).masks(x1)[0][0]
+    assert near.sum(axis=0).tolist() == [1] * 11  # of equal centers the first
+    assert near[0, :4].all() and near[1, 7:].all() and not near[2].any()
+    with pytest.raises(ValueError):
+        lloyd.matrix(pa.array([[1.0, 2.0], [3.0]]))
+    with pytest.raises(ValueError):
+        lloyd.matrix(pa.array([[1.0, None]]))
+
+
+def test_distance_sums_of_odd_vectors_are_null(spark):
+    rows = [(0, 0, [0.0, 1.0]), (1, 0, [0.5, 1.0]), (2, 1, [4.0, 1.0]), (3, 1, [4.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, cluster_id int, embedding array<float>")
+    got = {r.id: r.silhouette for r in silhouette(df).collect()}
+    a, b = 0.25, ((16 + 0) + (16 + 1)) / 2
+    assert got[0] == pytest.approx((b - a) / b) and len(got) == 4
+    sums = distance_sums(F.col("v"), [Row(cid=0, n=2, s=[1.0, 1.0], q=2.0)])
+    odd = spark.createDataFrame([(None,), ([1.0],), ([1.0, None],), ([2.0, 0.0],)], "v array<double>").select(sums.alias("x"))
+    assert [r.x for r in odd.collect()] == [[None], [None], [None], [6.0]]
+
+
 class Stop(Exception):
     pass
 

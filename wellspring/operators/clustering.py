@@ -1,17 +1,19 @@
 """KMeans with k selection (ML2, ML4) and the text classifier (ML11-ML13).
 
-MLlib does the distributed work: KMeans (k-means|| init) and gradient-boosted
-trees. The reference's restarts (``n_init``) become several seeds, keeping the
-fit with the lowest training cost; k is chosen by the exact squared-Euclidean
+MLlib does the k-means|| init and the gradient-boosted trees, ``lloyd`` the
+iterations of all KMeans fits together. The reference's restarts (``n_init``)
+become several seeds, keeping the fit with the lowest training cost; k is chosen by the exact squared-Euclidean
 silhouette of ``topics.silhouette`` on the whole input (no pair sampling).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from multiprocessing.pool import ThreadPool
 from typing import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -21,36 +23,52 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from ..session import cut_lineage
+from .lloyd import Centroids, blocks, lloyd, nearest_center, vectors
 from .topics import silhouette
 
 K_VALUES = (10, 15, 20, 30)
-#: Fits that run at a time. Their many short jobs fill the cores together; each holds its rows in Spark's cache.
+#: Fits that run at a time. Their many short jobs fill the cores together.
 PARALLEL = 5
 
 
 def _side_by_side(spark: SparkSession, fit: Callable, items: Sequence) -> list:
-    """``fit`` of each item, in the order of the items; ``PARALLEL`` at a time, as MLlib's ``CrossValidator`` does."""
+    """``fit`` of each item, in the order of the items; ``PARALLEL`` at a time, as MLlib's ``CrossValidator`` does.
+    Each fit has its own copy of Spark's local properties: a shared one loses its execution id to another's end."""
     if not items:
         return []
+    fits = [inheritable_thread_target(spark)(partial(fit, i)) for i in items]
     with ThreadPool(min(PARALLEL, len(items))) as pool:
-        return pool.map(inheritable_thread_target(spark)(fit), items, chunksize=1)
+        return pool.map(lambda run: run(), fits, chunksize=1)
+
+
+def _best_fits(df: DataFrame, k_values: Sequence[int], n: int, emb_col: str, seed: int, restarts: int,
+               max_iter: int) -> list[Centroids]:
+    """For each k the best of ``restarts`` seeded fits by training cost (ties: the first). MLlib chooses the centers
+    that a fit begins with (a fit of no iterations); the iterations of all fits go together."""
+    data = df.select(array_to_vector(F.col(emb_col)).alias("_features")).persist()
+    data.count()  # once, not by several fits at a time
+
+    def start(fit: tuple[int, int]) -> np.ndarray:
+        k, r = fit
+        return np.array(KMeans(k=k, seed=seed + r, maxIter=0, featuresCol="_features", predictionCol="cluster_id",
+                               initMode="k-means||", solver="row").fit(data).clusterCenters())
+    starts = _side_by_side(df.sparkSession, start, [(k, r) for k in k_values for r in range(restarts)])
+    data.unpersist()
+    rows = blocks(df, emb_col, n)
+    fits = lloyd(rows, starts, max_iter)
+    rows.unpersist()
+    return [min(fits[i:i + restarts], key=lambda m: m.summary.trainingCost) for i in range(0, len(fits), restarts)]
 
 
 def fit_kmeans(df: DataFrame, k: int, emb_col: str = "embedding", seed: int = 42,
-               restarts: int = 10, max_iter: int = 300):
-    """ML4: best of ``restarts`` seeded fits by training cost (ties: the first). Each fit reads ``df``:
+               restarts: int = 10, max_iter: int = 300) -> Centroids:
+    """ML4: best of ``restarts`` seeded fits by training cost (ties: the first). ``df`` is read several times:
     cut the lineage of an expensive one first."""
-    data = df.select(array_to_vector(F.col(emb_col)).alias("_features"))
+    return _best_fits(df, [k], df.count(), emb_col, seed, restarts, max_iter)[0]
 
-    def fit(r: int):
-        model = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="_features",
-                       predictionCol="cluster_id", initMode="k-means||").fit(data)
-        return model, model.summary.trainingCost
-    return min(_side_by_side(df.sparkSession, fit, range(restarts)), key=lambda fitted: fitted[1])[0]
 
-
-def assign(df: DataFrame, model, emb_col: str = "embedding") -> DataFrame:
-    return model.transform(df.withColumn("_features", array_to_vector(F.col(emb_col)))).drop("_features")
+def assign(df: DataFrame, model: Centroids, emb_col: str = "embedding") -> DataFrame:
+    return df.withColumn("cluster_id", nearest_center(vectors(df, emb_col), model.centers))
 
 
 def select_k(df: DataFrame, k_values: Sequence[int] = K_VALUES, emb_col: str = "embedding",
@@ -59,10 +77,9 @@ def select_k(df: DataFrame, k_values: Sequence[int] = K_VALUES, emb_col: str = "
     fits are skipped; ties keep the first k; no valid k -> the first k."""
     n = df.count()
     scores: dict[int, float] = {}
-    for k in k_values:
-        if k >= n:
-            continue
-        labelled = assign(df, fit_kmeans(df, k, emb_col, seed, restarts, max_iter), emb_col)
+    few = [k for k in k_values if k < n]
+    for k, model in zip(few, _best_fits(df, few, n, emb_col, seed, restarts, max_iter) if few else []):
+        labelled = assign(df, model, emb_col)
         if labelled.select("cluster_id").distinct().limit(2).count() < 2:
             continue
         s = silhouette(labelled, emb_col, "cluster_id").agg(F.avg("silhouette")).first()[0]

@@ -11,15 +11,20 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.vectors import default_stop_words, dot, sq_distance, sq_norm
+from ..functions.vectors import default_stop_words, sq_distance, sq_norm
 from ..session import cut_lineage
+from .lloyd import vectors
 
 # per-cluster statistics are broadcast only below this many doubles (k * d)
 MAX_BROADCAST_DOUBLES = 20_000_000
@@ -125,32 +130,59 @@ def representatives(df: DataFrame, cents: DataFrame, n: int = 5, id_col: str = "
              .drop("_cid", "centroid", "_rn"))
 
 
+def distance_sums(vec: Column, clusters: Sequence[Row]) -> Column:
+    """The sum of squared distances from a vector to the members of each cluster, from its n, S and Q. A sum is NULL
+    if the vector has a NULL, is NULL or is of another length than those of the cluster."""
+    n, q = np.array([c["n"] for c in clusters], "f8"), np.array([np.nan if c["q"] is None else c["q"] for c in clusters], "f8")
+    by_length: dict[int, list[int]] = {}
+    for i, c in enumerate(clusters):
+        if c["s"] is not None and c["q"] is not None:
+            by_length.setdefault(len(c["s"]), []).append(i)
+    parts = [(w, np.array(at), np.array([clusters[i]["s"] for i in at], "f8").reshape(-1, w)) for w, at in by_length.items()]
+
+    @F.arrow_udf("array<double>")
+    def sums(rows: pa.Array) -> pa.Array:
+        out, known = np.full((len(rows), len(n)), np.nan), np.zeros((len(rows), len(n)), bool)
+        lengths = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
+        for w, at, s in parts:
+            some = np.flatnonzero(lengths == w)
+            flat = rows.take(pa.array(some)).flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, w)
+            whole = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, w).any(axis=1)
+            out[np.ix_(some, at)] = n[at] * np.einsum("ij,ij->i", x, x)[:, None] - 2 * (x @ s.T) + q[at]
+            known[np.ix_(some, at)] = whole[:, None]
+        offsets = np.arange(len(rows) + 1, dtype="i4") * len(n)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel(), mask=~known.ravel()))
+    return sums(vec)
+
+
 def silhouette(df: DataFrame, emb_col: str = "embedding", cluster_col: str = "cluster_id") -> DataFrame:
     """ML3, exact, squared Euclidean distance (the metric of MLlib's
     ClusteringEvaluator), without pairs: with per-cluster n, S = sum(y) and
     Q = sum(|y|^2), sum_j |x - y_j|^2 = n|x|^2 - 2 x.S + Q. a(i) averages
     over the other members (n - 1), b(i) is the smallest mean over other
-    clusters, singletons score 0. Adds ``silhouette`` per row."""
+    clusters, singletons score 0. Adds ``silhouette`` per row. The clusters'
+    statistics are collected, so ``df`` is read once when this is called."""
     vec = array_to_vector(F.col(emb_col))
     stats = (df.groupBy(F.col(cluster_col).alias("cid"))
                .agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(vec).alias("_s"),
                     F.sum(sq_norm(F.col(emb_col))).alias("q"))
                .select("cid", "n", vector_to_array("_s").alias("s"), "q"))
-    arr = stats.agg(F.collect_list(F.struct("cid", "n", "s", "q")).alias("st")).scalar()
-    x = F.col(emb_col)
-    xn = sq_norm(x)
-    per = F.transform(F.col("_stats"), lambda c: F.struct(
-        c["cid"].alias("cid"), c["n"].alias("n"),
-        (c["n"] * xn - 2 * dot(x, c["s"]) + c["q"]).alias("sumd")))
+    found = stats.collect()
+    few = df.sparkSession.createDataFrame([(i, r["cid"], r["n"]) for i, r in enumerate(found)],
+                                          StructType([StructField("i", IntegerType()), *stats.schema.fields[:2]]))
+    arr = few.agg(F.array_sort(F.collect_list(F.struct("i", "cid", "n"))).alias("st")).scalar()
+    sums = distance_sums(vectors(df, emb_col), found)
+    per = F.zip_with("_stats", "_sums", lambda c, p: F.struct(c["cid"].alias("cid"), c["n"].alias("n"), p.alias("sumd")))
     mine = F.element_at(F.filter("_per", lambda p: p["cid"] == F.col(cluster_col)), 1)
     others = F.transform(F.filter("_per", lambda p: p["cid"] != F.col(cluster_col)), lambda p: p["sumd"] / p["n"])
     own, a, b = F.col("_own"), F.col("_own.sumd") / (F.col("_own.n") - 1), F.col("_b")
     s = F.when((own["n"] <= 1) | b.isNull(), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    # the statistics array enters as a column (a scalar subquery, evaluated
-    # once); subqueries cannot sit inside the lambdas themselves. Steps are
-    # columns, so that a row's sums over all clusters are worked out once
-    return (df.withColumn("_stats", arr).withColumn("_per", per).withColumns({"_own": mine, "_b": F.array_min(others)})
-              .withColumn("silhouette", s).drop("_stats", "_per", "_own", "_b"))
+    # the sums over all clusters are one matrix product for many rows. Steps are columns, so that they are
+    # worked out once
+    return (df.withColumn("_stats", arr).withColumn("_sums", sums).withColumn("_per", per)
+              .withColumns({"_own": mine, "_b": F.array_min(others)})
+              .withColumn("silhouette", s).drop("_stats", "_sums", "_per", "_own", "_b"))
 
 
 def cluster_report(df: DataFrame, labels: DataFrame | None = None, sil: float | None = None,
